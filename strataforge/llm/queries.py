@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table
 from . import canonical as _canonical
+from . import near_duplicates as _near
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,5 +28,10 @@ def p1_case_forms(spark: SparkSession, d: str) -> DataFrame:
     return _canonical.with_canonical(table(spark, d, "cases").select("pos", "query"), "query").drop("query")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_chunk_forms, p1_case_forms)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    groups = _near.near_duplicate_groups(table(spark, d, "chunks"), "pos", "content")
+    return groups.where("id <> group_id").select(F.col("group_id").alias("group_pos"), F.col("id").alias("pos"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_chunk_forms, p1_case_forms, p4_found)}
 SQL: dict[str, str] = {}
