@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from .operators import queries_snapshots
+
+_MODULES = (queries_snapshots,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
