@@ -34,11 +34,10 @@ from ..plans.tables import written
 
 # Letters of other alphabets and the Latin letters they are drawn like (after the public Unicode confusables).
 ALIKE = {
-    "cyrillic": ("аеорсухіјѕһԁԛԝАВЕЗКМНОРСТУХЅІЈҮԚԜ", "aeopcyxijshdqwABE3KMHOPCTYXSIJYQW"),
+    "cyrillic": ("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХЅІЈҮԚԜ", "aeopcyxijshdqwABEKMHOPCTYXSIJYQW"),
     "greek": ("οϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿ", "ojABEZHIKMNOPTYXJ"),
     "armenian": ("օսՕՍ", "ouOU"),
 }
-ALIKE["cyrillic"] = tuple("".join(c for c, k in zip(*ALIKE["cyrillic"]) if k != "3") if i == 0 else ALIKE["cyrillic"][1].replace("3", "") for i in (0, 1))
 # Hyphens drawn alike; characters that show nothing beside the category Cf.
 HYPHENS = "‐‑﹣－"
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
@@ -46,8 +45,8 @@ UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 PROTOTYPE = {ord(c): k for own, latin in ALIKE.values() for c, k in zip(own, latin)}
 BACK = {script: {k: c for c, k in reversed(list(zip(own, latin)))} for script, (own, latin) in ALIKE.items()}
 _JOINED = re.compile("(?<![؀-ࣿऀ-႟ក-៿\U0001f000-\U0001faff☀-➿️])[‌‍]")
-_WORD = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ʯ̀-ͯͰ-֏Ḁ-῿]*[Ͱ-ϿЀ-֏ἀ-῿]"
-                   "[A-Za-zªµºÀ-ÖØ-öø-ʯ̀-ͯͰ-֏Ḁ-῿]*")
+_WORD = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0300-\u036f\u0370-\u058f\u1e00-\u1fff]+")
+_FOREIGN = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 # A text without any of these has its form already.
 _SUSPECT = re.compile(
     "[^\\n\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u017f\\u0e00-\\u0e7f\\u3001-\\u303f\\u3041-\\u3098\\u309b-\\u30ff\\u3400-\\u9fff"
@@ -65,7 +64,7 @@ class _Fold(dict):
             out = "-"
         elif kind == "Zs" or char == "\t":
             out = " "
-        elif char in "\x85  ":
+        elif char in "\x85\u2028\u2029":
             out = "\n"
         elif char in "‌‍":
             out = char
@@ -150,7 +149,7 @@ def vocabulary(path: str | None) -> Trie:
                 word = base64.b64decode(line.split()[0]).decode().strip()
             except (UnicodeDecodeError, IndexError):
                 continue
-            if len(word) > 1 and _WORD.fullmatch(word) and not any("A" <= c <= "z" for c in word):
+            if len(word) > 1 and _WORD.fullmatch(word) and _FOREIGN.search(word) and not any("A" <= c <= "z" for c in word):
                 words.append(word)
     return Trie(words)
 
@@ -181,7 +180,9 @@ def canonical(text: str | None, path: str | None = None) -> str | None:
     if "‌" in text or "‍" in text:
         text = _JOINED.sub("", text)
     text = unicodedata.normalize("NFC", text)
-    return _WORD.sub(lambda m: spelling(m[0], path), text)
+    if not _FOREIGN.search(text):
+        return text
+    return _WORD.sub(lambda m: spelling(m[0], path) if _FOREIGN.search(m[0]) else m[0], text)
 
 
 def canonical_column(text: str, path: str | None = None) -> Column:

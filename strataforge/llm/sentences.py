@@ -39,7 +39,7 @@ _OPEN = {"„": 2, "«": 3, "「": 4, "『": 5, "(": 6, "（": 6, "[": 7, "【":
 _CLOSE = {"»": 3, "」": 4, "』": 5, ")": 6, "）": 6, "]": 7, "】": 7, "》": 8, "〉": 8}
 _CLOSERS = {2: "“”", 3: "»", 4: "」", 5: "』", 6: ")）", 7: "]】", 8: "》〉"}
 _QUOTES = {0, 1, 2, 3, 4, 5}
-_EVENT = re.compile("[\n\r\v\f\x85  ]|[.!?。！？｡．…।॥؟۔]+|[\"“”„«»「」『』()（）\\[\\]【】《》〈〉]|(?<=[฀-๿])[^\\S\n\r]+|[^\\S\n\r]+(?=[฀-๿])")
+_EVENT = re.compile("[\n\r\v\f\x85\u2028\u2029]|[.!?。！？｡．…।॥؟۔]+|[\"“”„«»「」『』()（）\\[\\]【】《》〈〉]|(?<=[฀-๿])[^\\S\n\r]+|[^\\S\n\r]+(?=[฀-๿])")
 _FINAL = set("!?。！？｡।॥؟۔")
 _WIDE = set("。！？｡．")
 _GOES_ON = set("，、；：,;:。．.！？!?と的之をがはのに")
@@ -154,7 +154,7 @@ def symbols(text: str) -> tuple[list[int], list[int]]:
         at, end, run = m.start(), m.end(), m[0]
         char = run[0]
         symbol = None
-        if char in "\n\r\v\f\x85  ":
+        if char in "\n\r\v\f\x85\u2028\u2029":
             symbol, end = _BREAK, at
         elif char.isspace():
             line = max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
