@@ -4,10 +4,11 @@ Size-partitioned MinHash containment search. An item leaks if one of its windows
 digits for languages written without blanks) stands in a document. A window is a small set of shingles (11 of five words, or
 17 of sixteen characters); a document is partitioned by size into all its overlapping windows of the same number of shingles, so
 that where an item's window is contained, the document's window is the same set and has the same MinHash, whatever the
-document's length: containment 1 of equal sizes, found with certainty by one hash function. Neighbouring windows mostly
-share their MinHash, so a document has about two minima for each window's length of text.
+document's length: containment 1 of equal sizes, found with certainty. A key combines the MinHashes of four hash functions, so that windows
+which merely share some shingles (set phrases) seldom meet.
 
-Items and documents meet on these minima (a shuffled join; neither side is broadcast), and every candidate is then verified by
+The items' keys are marked in a bitmap of fixed size (`BITS`, 4 MB), which is what every executor gets; a document goes on only
+with keys marked there, which loses none. Items and documents then meet on the keys in a shuffled join, and every candidate is then verified by
 the exact shingles: a run of 15 words or 32 characters of the passage in the document's text.
 
 Words are runs of letters and digits of the case-folded canonical form. Defined cases: null ids, texts and passages are left out;
@@ -18,10 +19,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ from .canonical import canonical
 
 _WORD = re.compile(r"[^\W_]+")
 WORDS, WORD_SHINGLE, CHARS, CHAR_SHINGLE = 15, 5, 32, 16
+BITS, ROWS, BLOCK = 1 << 25, 4, 200
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,50 +40,108 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(canonical(text).casefold())
 
 
-def _minima(codes: np.ndarray, shingle: int, window: int) -> np.ndarray:
-    """The distinct MinHashes of all windows of `window` codes, as sets of shingles of `shingle` codes."""
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a ^ (b >> np.uint64(7)) ^ (b << np.uint64(57))) * _MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _runs(codes: np.ndarray, width: int, join) -> np.ndarray:
+    """`join` folded over each `width` codes in a row, by doubling; for a join that may see a code twice, or a power of two and less than one more."""
+    done = 1
+    while done * 2 <= width:
+        codes = join(codes[:-done], codes[done:])
+        done *= 2
+    return codes if done == width else join(codes[: len(codes) - (width - done)], codes[width - done :])
+
+
+def _signatures(codes: np.ndarray, sizes: np.ndarray, shingle: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, owner) of all windows of `window` codes of texts laid end to end, as sets of shingles of `shingle` codes: ROWS MinHashes in one key.
+
+    Windows that reach over the end of a text are left out.
+    """
     if len(codes) < window:
-        return np.array([], np.uint64)
-    n = len(codes) - shingle + 1
-    h = np.zeros(n, np.uint64)
+        return np.array([], np.uint64), np.array([], np.int64)
+    with np.errstate(over="ignore"):
+        h = _runs(codes, shingle, _mixed)
+        key = np.zeros(len(codes) - window + 1, np.uint64)
+        for row in range(1, ROWS + 1):
+            other = (h ^ np.uint64(row * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) * _MIX
+            other ^= other >> np.uint64(32)
+            key = (key ^ _runs(other, window - shingle + 1, np.minimum)) * _MIX
+            key ^= key >> np.uint64(29)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(key)]
+    whole = np.arange(len(key)) + window <= ends[owner]
+    return key[whole], owner[whole]
+
+
+@lru_cache(maxsize=1)
+def _letters_and_digits() -> np.ndarray:
+    """For each code point whether it is a letter or digit."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+def _both_kinds(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, owner) of the word windows and of the character windows of the texts; the kind is the key's last bit.
+
+    A word's code is the sum of its characters' codes, each mixed with its place in the word.
+    """
+    plain = [canonical(t).casefold() for t in texts]
+    flat = np.frombuffer("\0".join([*plain, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in plain])
+    there = _letters_and_digits()[flat]
+    begins = there & np.concatenate([[True], ~there[:-1]])
+    chars, owner = flat[there].astype(np.uint64), text_of[there]
+    starts = np.flatnonzero(begins[there])
+    place = np.arange(len(chars)) - np.repeat(starts, np.diff(np.append(starts, len(chars))))
     with np.errstate(over="ignore"):
-        for k in range(shingle):
-            h = (h ^ codes[k : k + n]) * _MIX
-            h ^= h >> np.uint64(29)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, window - shingle + 1).min(axis=1))
+        mixed = (chars + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) | np.uint64(1))
+        mixed = (mixed ^ mixed >> np.uint64(31)) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        words = np.add.reduceat(mixed, starts) if len(starts) else chars
+    a, x = _signatures(words, np.bincount(owner[starts], minlength=len(texts)), WORD_SHINGLE, WORDS)
+    b, y = _signatures(chars, np.bincount(owner, minlength=len(texts)), CHAR_SHINGLE, CHARS)
+    return np.concatenate([a & ~np.uint64(1), b | np.uint64(1)]), np.concatenate([x, y])
 
 
-def _char_codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+def _item_pass(unspaced: tuple[str, ...]):
+    """Rows (minimum, item_id) of the windows of each passage's language."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                chars = [lang in unspaced for lang in batch.column(2).to_pylist()]
+                keys, owner = _both_kinds(batch.column(1).to_pylist())
+                own = np.array(chars, bool)[owner] == (keys & np.uint64(1)).astype(bool)
+                keys, owner = keys[own], owner[own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(owner))], names=["minimum", "item_id"])
+
+    return run
 
-def _minima_pass(documents: bool, unspaced: tuple[str, ...]):
-    """Rows (minimum, id): of documents both kinds of windows, of items the kind of their language."""
+
+def _document_pass(bitmap):
+    """Rows (doc_id, text, minima) of the documents with keys that an item may have, those keys only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed: dict[str, int] = {}
+        bits = np.frombuffer(bitmap.value, np.uint8)
+
+        def marked(place: np.ndarray) -> np.ndarray:
+            return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                found, sizes = [], []
-                for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    words = words_of(text)
-                    some = []
-                    if documents or lang not in unspaced:
-                        if len(hashed) > 300_000:
-                            hashed.clear()
-                        for w in words:
-                            if w not in hashed:
-                                hashed[w] = xxhash.xxh3_64_intdigest(w)
-                        some.append(_minima(np.array([hashed[w] for w in words], np.uint64), WORD_SHINGLE, WORDS) & ~np.uint64(1))
-                    if documents or lang in unspaced:
-                        some.append(_minima(_char_codes(words), CHAR_SHINGLE, CHARS) | np.uint64(1))
-                    found.append(np.concatenate(some))
-                    sizes.append(len(found[-1]))
-                every = np.concatenate(found) if found else np.array([], np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(every.view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))], names=["minimum", "id"]
-                )
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                keys, owner = _both_kinds(batch.column(1).to_pylist())
+                for shift in (1, 33):
+                    there = marked((keys >> np.uint64(shift)) % np.uint64(BITS))
+                    keys, owner = keys[there], owner[there]
+                order = np.argsort(owner, kind="stable")
+                kept, first = np.unique(owner[order], return_index=True)
+                minima = [np.unique(part).view(np.int64) for part in np.split(keys[order], first[1:])] if len(kept) else []
+                rows = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(minima, pa.list_(pa.int64()))], names=["doc_id", "text", "minima"])
 
     return run
 
@@ -120,12 +180,18 @@ def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", language: str = "language", unspaced: tuple[str, ...] = ("zh", "ja")
 ) -> DataFrame:
     """(doc_id, item_id, share): every document with every item it holds a window of, and the share of the item's windows."""
+    spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     held = items.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage"), F.lower(F.trim(F.split(F.col(language), "[-_]")[0])).alias("lang"))
     held = held.where("item_id is not null and passage is not null")
     d, i = docs.schema["doc_id"].dataType.simpleString(), held.schema["item_id"].dataType.simpleString()
-    of_docs = docs.withColumn("lang", F.lit(None).cast("string")).mapInArrow(_minima_pass(True, unspaced), f"minimum bigint, doc_id {d}")
-    of_items = held.select("item_id", "passage", "lang").mapInArrow(_minima_pass(False, unspaced), f"minimum bigint, item_id {i}")
-    pairs = written(of_docs.join(of_items, "minimum").select("doc_id", "item_id").distinct())
-    rows = pairs.join(docs, "doc_id").join(held, "item_id").select("doc_id", "item_id", "text", "passage", "lang")
+    of_items = written(held.select("item_id", "passage", "lang").mapInArrow(_item_pass(unspaced), f"minimum bigint, item_id {i}").distinct())
+    places = of_items.select(F.explode(F.array(*(F.expr(f"pmod(shiftrightunsigned(minimum, {k}), {BITS}L)") for k in (1, 33)))).alias("bit"))
+    # At most BITS / 64 rows of one word, whatever the number of items.
+    marked = places.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
+    bitmap = np.zeros(BITS // 64, np.int64)
+    bitmap[[r["word"] for r in marked]] = [r["bits"] for r in marked]
+    suspects = written(docs.mapInArrow(_document_pass(spark.sparkContext.broadcast(bitmap.astype("<i8").tobytes())), f"doc_id {d}, text string, minima array<bigint>"))
+    pairs = suspects.select("doc_id", F.explode("minima").alias("minimum")).join(of_items, "minimum").select("doc_id", "item_id").distinct()
+    rows = pairs.join(suspects.select("doc_id", "text"), "doc_id").join(held, "item_id").select("doc_id", "item_id", "text", "passage", "lang")
     return rows.mapInArrow(_verify_pass(unspaced), f"doc_id {d}, item_id {i}, share double")
