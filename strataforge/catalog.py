@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import queries_snapshots
+from .operators import queries_evidence, queries_lifecycle, queries_metrics, queries_retrieval, queries_runs, queries_snapshots, queries_text
 
-_MODULES = (queries_snapshots,)
+_MODULES = (queries_retrieval, queries_lifecycle, queries_evidence, queries_metrics, queries_runs, queries_snapshots, queries_text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
