@@ -4,7 +4,7 @@ The texts of all records are laid end to end as token sequences; their suffixes
 first L tokens, so all suffixes sharing L or more tokens lie in one partition, and sorted there. Within a run of
 suffixes with a common prefix of L or more tokens, cross-split neighbours show a shared span; a span is taken
 where it starts (the tokens before it differ), so it is shown once for each pair. Runs with more than
-`crowd` cross-split pairs (boilerplate) are split again by their first 2L, then 4L tokens. The spans of a pair are merged
+`crowd` cross-split pairs (boilerplate), or more rows than are held at once, are split again by their first 2L, then 4L tokens. The spans of a pair are merged
 into the share of each record they cover; the similarity of the token sets then decides.
 
 L is 12 for texts of more than 24 tokens and 5 for texts of at most 34, so texts between are compared under both and a
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import written
 from .tokens import similarity, token_sequence, token_set
 
-LONG, SHORT, UP_TO, FROM = 12, 5, 34, 24
+LONG, SHORT, UP_TO, FROM, LONGEST = 12, 5, 34, 24, 100_000
 
 
 def _grams(codes: np.ndarray, width: int) -> np.ndarray:
@@ -91,7 +91,7 @@ class _Runs:
                 out.append((np.full(len(starts), run[3][i]), run[3][starts]))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, deep, depth = None, None, 0
         for batch in _with_end(batches):
             rows = [kept] if kept is not None else []
             if batch is not None and batch.num_rows:
@@ -99,11 +99,35 @@ class _Runs:
             if not rows:
                 continue
             cols = [np.concatenate(x) for x in zip(*rows)]
-            cut = len(cols[0]) if batch is None else int(np.searchsorted(cols[0], cols[0][-1]))
-            kept = None if batch is None else [c[cut:] for c in cols]
             out: list = []
-            if cut:
-                self.pairs([c[:cut] for c in cols], 0, out)
+            while len(cols[0]):
+                # The rows of a run too long to wait for its end are taken by the longer prefix they are sorted by.
+                if cols[0][0] != deep:
+                    deep, depth = None, 0
+                last = len(cols[0]) if batch is None else int(np.searchsorted(cols[0], cols[0][-1]))
+                if deep is not None:
+                    same = int(np.searchsorted(cols[0], deep, side="right"))
+                    key = cols[depth][:same]
+                    ended = same < len(cols[0]) or batch is None
+                    cut = same if ended else int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+                    if cut:
+                        self.pairs([c[:cut] for c in cols], depth, out)
+                    cols = [c[cut:] for c in cols]
+                    if ended:
+                        deep, depth = None, 0
+                        continue
+                    if len(cols[0]) > LONGEST and depth < 2:
+                        depth += 1
+                        continue
+                    break
+                if last:
+                    self.pairs([c[:last] for c in cols], 0, out)
+                    cols = [c[last:] for c in cols]
+                if batch is not None and len(cols[0]) > LONGEST:
+                    deep, depth = cols[0][0], 1
+                    continue
+                break
+            kept = cols if batch is not None and len(cols[0]) else None
             a = np.concatenate([x for x, _ in out]) if out else np.array([], np.int64)
             b = np.concatenate([x for _, x in out]) if out else np.array([], np.int64)
             found = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)

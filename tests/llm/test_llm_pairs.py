@@ -108,6 +108,31 @@ def test_cross_split_overlaps_against_brute_force(spark):
     assert overlaps.cross_split_overlaps(df.limit(0), "case_id", "summary", "split", "at").count() == 0
 
 
+def test_long_runs_are_read_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n = 600
+    g1 = np.sort(rng.integers(0, 4, n))
+    g2, g3 = g1 * 10 + rng.integers(0, 5, n), np.zeros(n, np.int64)
+    g3 = g2 * 10 + rng.integers(0, 4, n)
+    order = np.lexsort((g3, g2, g1))
+    cols = [c[order] for c in (g1, g2, g3)] + [np.arange(n), rng.integers(0, 2, n).astype(np.int32), np.zeros(n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g1", "g2", "g3", "rec", "side", "prev"])
+
+    def pairs(size, crowd):
+        return {p for out in overlaps._Runs(crowd)(iter([batch.slice(i, size) for i in range(0, n, size)])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+
+    def brute(key):
+        return {(int(a), int(b)) for a in range(n) for b in range(n) if cols[4][a] == 0 and cols[4][b] == 1 and cols[key][a] == cols[key][b]}
+
+    assert pairs(n, 10**9) == pairs(50, 10**9) == brute(0)
+    assert pairs(n, 1) == pairs(37, 1) == brute(2)
+    monkeypatch.setattr(overlaps, "LONGEST", 60)
+    deep = pairs(40, 10**9)
+    assert brute(2) <= deep <= brute(0)
+
+
 def test_coverage():
     a, b = "a b c d e f g".split(), "x a b c d e y".split()
     assert overlaps.covered(a, b, 5) == (5 / 7, 5 / 7)
