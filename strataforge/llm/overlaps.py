@@ -3,10 +3,13 @@
 The texts of all records are laid end to end as token sequences; their suffixes are partitioned by a hash of the
 first L tokens, so all suffixes sharing L or more tokens lie in one partition, and sorted there. Within a run of
 suffixes with a common prefix of L or more tokens, cross-split neighbours show a shared span; a span is taken
-where it starts (the tokens before it differ), so it is shown once for each pair. Runs with more than
-`crowd` cross-split pairs (boilerplate), or more rows than are held at once, are split again by their first 2L, then 4L tokens. The spans of a pair are merged
+where it starts (the tokens before it differ), so it is shown once for each pair. The spans of a pair are merged
 into the share of each record they cover; the similarity of the token sets then decides.
 
+Crowded runs, with more than `crowd` cross-split pairs or more rows than are held at once (a set phrase, boilerplate), emit no pairs. Their
+records are joined exactly by another way instead: tokens ordered from rare to frequent, two sets of similarity t or more share two tokens
+among the first n - ceil(t n) + 2 of each, so both meet on a pair of rare tokens, which boilerplate is not.
+
 L is 12 for texts of more than 24 tokens and 5 for texts of at most 34, so texts between are compared under both and a
 pair whose sizes allow a similarity of 0.7 always shares an L. A pair is found if its texts share a span of L
 tokens: with similarity 0.7 and in-order edits the spans left average five or more words, or ten or more Han characters;
@@ -60,78 +63,85 @@ def _suffix_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = np.concatenate([np.zeros(1, np.uint64), codes])[:-1] if len(codes) else codes
             for width in [w for w, on in ((LONG, len(codes) > FROM), (SHORT, len(codes) <= UP_TO)) if on]:
                 here = np.arange(max(1, len(codes) - width + 1) if len(codes) else 0)
-                grams = [_grams(codes, width * f)[here] for f in (1, 2, 4)]
-                parts.append([grams[0], grams[1], grams[2], np.full(len(here), row), np.full(len(here), side), before[here]])
-        cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.array([], np.int64)] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64) if i != 4 else c.astype(np.int32)) for i, c in enumerate(cols)], names=["g1", "g2", "g3", "rec", "side", "prev"])
+                parts.append([_grams(codes, width)[here], np.full(len(here), row), np.full(len(here), side), before[here]])
+        cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.array([], np.int64)] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64) if i != 2 else c.astype(np.int32)) for i, c in enumerate(cols)], names=["gram", "rec", "side", "prev"])
 
 
 class _Runs:
-    """Cross-split pairs at the starts of shared spans, from suffixes sorted by (g1, g2, g3)."""
+    """Cross-split pairs (a, b) at the starts of shared spans, from sorted suffixes; records of crowded runs as (a, null)."""
 
     def __init__(self, crowd: int):
         self.crowd = crowd
 
-    def pairs(self, cols: list[np.ndarray], depth: int, out: list) -> None:
-        key = cols[depth]
+    def pairs(self, cols: list[np.ndarray], out: list, crowded: list) -> None:
+        key, rec, side, prev = cols
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(cut, len(key)))
-        train = np.add.reduceat((cols[4] == 0).astype(np.int64), cut)
+        train = np.add.reduceat((side == 0).astype(np.int64), cut)
         for f, s, t in zip(cut.tolist(), size.tolist(), train.tolist()):
             if t == 0 or t == s:
                 continue
-            run = [c[f : f + s] for c in cols]
-            if depth < 2 and t * (s - t) > self.crowd:
-                order = np.argsort(run[depth + 1], kind="stable")
-                self.pairs([c[order] for c in run], depth + 1, out)
+            run = slice(f, f + s)
+            if t * (s - t) > self.crowd:
+                crowded.append(rec[run])
                 continue
-            a, b = np.flatnonzero(run[4] == 0), np.flatnonzero(run[4] == 1)
+            a, b = f + np.flatnonzero(side[run] == 0), f + np.flatnonzero(side[run] == 1)
             for i in a.tolist():
-                starts = b[(run[5][b] != run[5][i]) | (run[5][b] == 0)]
-                out.append((np.full(len(starts), run[3][i]), run[3][starts]))
+                starts = b[(prev[b] != prev[i]) | (prev[b] == 0)]
+                out.append((np.full(len(starts), rec[i]), rec[starts]))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, deep, depth = None, None, 0
+        kept, flood = None, None
         for batch in _with_end(batches):
             rows = [kept] if kept is not None else []
             if batch is not None and batch.num_rows:
-                rows.append([np.asarray(batch.column(i)) for i in range(6)])
+                rows.append([np.asarray(batch.column(i)) for i in range(4)])
+            kept = None
             if not rows:
                 continue
             cols = [np.concatenate(x) for x in zip(*rows)]
             out: list = []
-            while len(cols[0]):
-                # The rows of a run too long to wait for its end are taken by the longer prefix they are sorted by.
-                if cols[0][0] != deep:
-                    deep, depth = None, 0
-                last = len(cols[0]) if batch is None else int(np.searchsorted(cols[0], cols[0][-1]))
-                if deep is not None:
-                    same = int(np.searchsorted(cols[0], deep, side="right"))
-                    key = cols[depth][:same]
-                    ended = same < len(cols[0]) or batch is None
-                    cut = same if ended else int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-                    if cut:
-                        self.pairs([c[:cut] for c in cols], depth, out)
-                    cols = [c[cut:] for c in cols]
-                    if ended:
-                        deep, depth = None, 0
-                        continue
-                    if len(cols[0]) > LONGEST and depth < 2:
-                        depth += 1
-                        continue
-                    break
-                if last:
-                    self.pairs([c[:last] for c in cols], 0, out)
-                    cols = [c[last:] for c in cols]
-                if batch is not None and len(cols[0]) > LONGEST:
-                    deep, depth = cols[0][0], 1
-                    continue
-                break
-            kept = cols if batch is not None and len(cols[0]) else None
+            crowded: list = []
+            if flood is not None:
+                same = int(np.searchsorted(cols[0], flood, side="right")) if cols[0][0] == flood else 0
+                crowded.append(cols[1][:same])
+                cols = [c[same:] for c in cols]
+            if len(cols[0]):
+                flood = None
+                cut = len(cols[0]) if batch is None else int(np.searchsorted(cols[0], cols[0][-1]))
+                if cut:
+                    self.pairs([c[:cut] for c in cols], out, crowded)
+                if batch is not None and len(cols[0]) - cut > LONGEST:
+                    flood = cols[0][-1]
+                    crowded.append(cols[1][cut:])
+                elif batch is not None:
+                    kept = [c[cut:] for c in cols]
             a = np.concatenate([x for x, _ in out]) if out else np.array([], np.int64)
             b = np.concatenate([x for _, x in out]) if out else np.array([], np.int64)
             found = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            alone = np.unique(np.concatenate(crowded)) if crowded else np.array([], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([found[0], alone])), pa.concat_arrays([pa.array(found[1]), pa.nulls(len(alone), pa.int64())])], names=["a", "b"])
+
+
+def _token_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [sorted(xxhash.xxh3_64_intdigest(t) >> 1 for t in token_set(text)) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["rec", "side", "tokens"])
+
+
+def _rare_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a superset of the cross-split pairs of the texts (rec, side, text) with the similarity, by pairs of rare tokens."""
+    tokens = texts.mapInArrow(_token_pass, "rec bigint, side int, tokens array<bigint>").select("rec", "side", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = tokens.join(df, "token").groupBy("rec", "side", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+    first = F.slice("tokens", 1, F.least(F.col("n"), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 2).cast("int")))
+    combos = F.when(F.col("n") == 1, F.transform("p", lambda x: F.xxhash64(x, x))).otherwise(
+        F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    )
+    keys = ordered.withColumn("p", first).select("rec", "side", F.explode(combos).alias("key"))
+    a, b = keys.where("side = 0").select(F.col("rec").alias("a"), "key"), keys.where("side = 1").select(F.col("rec").alias("b"), "key")
+    return a.join(b, "key").select("a", "b").distinct()
 
 
 def _with_end(batches):
@@ -177,8 +187,10 @@ def cross_split_overlaps(
     rows = rows.where(F.col("text").isNotNull() & F.col("split").isin(train, *against)).withColumn("side", F.when(F.col("split") == train, 0).otherwise(1))
     rows = written(rows.withColumn("rec", F.xxhash64("side", "text")))
     texts = rows.dropDuplicates(["rec"]).select("rec", "side", "text")
-    suffixes = texts.mapInArrow(_suffix_pass, "g1 bigint, g2 bigint, g3 bigint, rec bigint, side int, prev bigint")
-    pairs = suffixes.repartition("g1").sortWithinPartitions("g1", "g2", "g3").mapInArrow(_Runs(crowd), "a bigint, b bigint").distinct()
+    suffixes = texts.mapInArrow(_suffix_pass, "gram bigint, rec bigint, side int, prev bigint")
+    found = written(suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_Runs(crowd), "a bigint, b bigint").distinct())
+    crowded = texts.join(found.where("b is null").select(F.col("a").alias("rec")), "rec", "left_semi")
+    pairs = found.where("b is not null").union(_rare_pairs(crowded, threshold)).distinct()
     a, b = texts.select(F.col("rec").alias("a"), F.col("text").alias("x")), texts.select(F.col("rec").alias("b"), F.col("text").alias("y"))
     near = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify_pass(threshold), "a bigint, b bigint, similarity double, cover_a double, cover_b double")
     ids_a, ids_b = rows.select(F.col("rec").alias("a"), F.col("id").alias("id_a")), rows.select(F.col("rec").alias("b"), F.col("id").alias("id_b"))
