@@ -11,7 +11,10 @@ from . import lifecycle as L
 from .components import connected_components
 
 _PARAMETER = "([a-z]+\\.[a-z_]+)(?: 设为 | is set to |=)([0-9]+(?:\\.[0-9]+)?)"
-_NUMBER = F.expr("try_cast(regexp_extract(chunk_id, ':([0-9]+)$', 1) as bigint)")
+
+
+def _number():
+    return F.expr("try_cast(regexp_extract(chunk_id, ':([0-9]+)$', 1) as bigint)")
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +28,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_diff(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pieces(spark, d).select("document_key", F.split("chunk_id", ":")[1].alias("lang"), _NUMBER.alias("number"), "version", content_hash(F.col("content")).alias("hash"))
+    rows = _pieces(spark, d).select("document_key", F.split("chunk_id", ":")[1].alias("lang"), _number().alias("number"), "version", content_hash(F.col("content")).alias("hash"))
     keys = ["document_key", "lang", "number"]
     both = rows.where("version in ('v1.5.0', 'v1.6.2')").groupBy(*keys, "version").agg(F.max("hash").alias("hash"))
     return L.keyed_diff(both.where("version = 'v1.5.0'"), both.where("version = 'v1.6.2'"), keys, "hash").select(*keys, "change_type")

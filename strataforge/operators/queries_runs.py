@@ -9,7 +9,10 @@ from ..plans.tables import table
 from . import runs as R
 
 _ORDER = ["ts", "event_id"]
-_CENTS = F.expr("cast(round(value * 100) as bigint)")
+
+
+def _cents():
+    return F.expr("cast(round(value * 100) as bigint)")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +41,7 @@ def value_growth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_running(spark: SparkSession, d: str) -> DataFrame:
-    rows = R.running_budget(_events(spark, d), "user_id", _ORDER, _CENTS, 50_000)
+    rows = R.running_budget(_events(spark, d), "user_id", _ORDER, _cents(), 50_000)
     return rows.select("event_id", "spent", "within")
 
 
@@ -84,7 +87,7 @@ def budget_ledger(spark: SparkSession, d: str) -> DataFrame:
     rows = R.sequenced(_events(spark, d), "user_id", _ORDER).withColumn("step", (F.col("sequence") - 1) % 3)
     events = rows.where("step < 2").select(
         F.col("user_id").alias("run_id"), F.col("sequence").cast("bigint").alias("seq"), F.when(F.col("step") == 0, "reserve").otherwise("commit").alias("action"),
-        F.expr("cast((sequence - 1) div 3 as string)").alias("reservation_id"), F.when(F.col("step") == 0, F.to_json(F.struct(_CENTS.alias("cents"), F.lit(1).alias("calls")))).alias("costs"),
+        F.expr("cast((sequence - 1) div 3 as string)").alias("reservation_id"), F.when(F.col("step") == 0, F.to_json(F.struct(_cents().alias("cents"), F.lit(1).alias("calls")))).alias("costs"),
     )
     return R.replay_budget(events, {"cents": 100_000, "calls": 15})
 
