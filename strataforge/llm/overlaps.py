@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import written
-from .tokens import similarity, token_sequence, token_set
+from .tokens import token_sequence, token_set
 
 LONG, SHORT, UP_TO, FROM, LONGEST = 12, 5, 34, 24, 100_000
 
@@ -126,13 +126,15 @@ class _Runs:
 
 def _token_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [sorted(xxhash.xxh3_64_intdigest(t) >> 1 for t in token_set(text)) for text in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["rec", "side", "tokens"])
+        sets = [np.array(sorted(xxhash.xxh3_64_intdigest(t) >> 1 for t in token_set(text)), np.int64) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rec", "side", "tokens", "packed"]
+        )
 
 
-def _rare_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a superset of the cross-split pairs of the texts (rec, side, text) with the similarity, by pairs of rare tokens."""
-    tokens = texts.mapInArrow(_token_pass, "rec bigint, side int, tokens array<bigint>").select("rec", "side", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+def _rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a superset of the cross-split pairs of the sets (rec, side, tokens) with the similarity, by pairs of rare tokens."""
+    tokens = sets.select("rec", "side", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ordered = tokens.join(df, "token").groupBy("rec", "side", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
     first = F.slice("tokens", 1, F.least(F.col("n"), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 2).cast("int")))
@@ -164,20 +166,29 @@ def covered(a: list[str], b: list[str], least: int) -> tuple[float, float]:
 
 
 def _verify_pass(threshold: float):
+    """The pairs (a, b) of token sets, given as sorted 64-bit digests, that have the similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                alike = similarity(token_set(x), token_set(y))
-                if alike >= threshold - 1e-9:
-                    for k, v in enumerate((a, b, alike, *covered(token_sequence(x), token_sequence(y), SHORT))):
-                        rows[k].append(v)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=["a", "b", "similarity", "cover_a", "cover_b"])
+            alike = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                every = np.concatenate([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)])
+                every.sort()
+                both = int((every[1:] == every[:-1]).sum())
+                alike.append(both / (len(every) - both) if len(every) else 0.0)
+            keep = pa.array([v >= threshold - 1e-9 for v in alike], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(alike, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
 
     return run
 
 
+def _cover_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shares = [covered(token_sequence(x), token_sequence(y), SHORT) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+        own, other = ([s[k] for s in shares] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.float64()), pa.array(other, pa.float64())], names=["a", "b", "similarity", "cover_a", "cover_b"])
+
+
 def cross_split_overlaps(
     df: DataFrame, row_id: str, text: str, split: str, time: str, train: str = "train", against: tuple[str, ...] = ("dev", "holdout"), threshold: float = 0.7, crowd: int = 16384
 ) -> DataFrame:
@@ -189,9 +200,12 @@ def cross_split_overlaps(
     texts = rows.dropDuplicates(["rec"]).select("rec", "side", "text")
     suffixes = texts.mapInArrow(_suffix_pass, "gram bigint, rec bigint, side int, prev bigint")
     found = written(suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_Runs(crowd), "a bigint, b bigint").distinct())
-    crowded = texts.join(found.where("b is null").select(F.col("a").alias("rec")), "rec", "left_semi")
+    sets = written(texts.mapInArrow(_token_pass, "rec bigint, side int, tokens array<bigint>, packed binary"))
+    crowded = sets.join(found.where("b is null").select(F.col("a").alias("rec")), "rec", "left_semi")
     pairs = found.where("b is not null").union(_rare_pairs(crowded, threshold)).distinct()
+    a, b = sets.select(F.col("rec").alias("a"), F.col("packed").alias("x")), sets.select(F.col("rec").alias("b"), F.col("packed").alias("y"))
+    near = written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify_pass(threshold), "a bigint, b bigint, similarity double"))
     a, b = texts.select(F.col("rec").alias("a"), F.col("text").alias("x")), texts.select(F.col("rec").alias("b"), F.col("text").alias("y"))
-    near = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify_pass(threshold), "a bigint, b bigint, similarity double, cover_a double, cover_b double")
+    near = near.join(a, "a").join(b, "b").select("a", "b", "similarity", "x", "y").mapInArrow(_cover_pass, "a bigint, b bigint, similarity double, cover_a double, cover_b double")
     ids_a, ids_b = rows.select(F.col("rec").alias("a"), F.col("id").alias("id_a")), rows.select(F.col("rec").alias("b"), F.col("id").alias("id_b"))
     return near.join(ids_a, "a").join(ids_b, "b").select("id_a", "id_b", "similarity", "cover_a", "cover_b")
