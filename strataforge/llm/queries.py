@@ -122,4 +122,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p6_found, p6_pieces, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_sentences,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """WITH RECURSIVE c AS (SELECT case_id, nullif(translate(lower(regexp_replace(family_id, '^\\s+|\\s+$', '', 'g')), '- ', '__'), '') AS family, derived_from, nullif(lower(trim(split)), '') AS split FROM cases WHERE case_id IS NOT NULL),
+e AS (SELECT 'r ' || case_id AS a, 'f ' || family AS b FROM c WHERE family IS NOT NULL UNION SELECT 'r ' || case_id, 'r ' || derived_from FROM c WHERE derived_from IN (SELECT case_id FROM c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other),
+g AS (SELECT substr(node, 3) AS case_id, min(substr(other, 3)) FILTER (other LIKE 'r %') AS group_case_id FROM reach WHERE node LIKE 'r %' GROUP BY 1),
+m AS (SELECT group_case_id FROM g JOIN c USING (case_id) GROUP BY 1 HAVING count(DISTINCT split) > 1)
+SELECT group_case_id, case_id FROM g WHERE group_case_id IN (SELECT group_case_id FROM m)""",
+    "p6_found": "SELECT pos FROM chunks WHERE length(content) > 1250",
+}
