@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, sql_squeeze
-from ..plans.tables import table
+from ..plans.tables import spread, table
 from . import lifecycle as L
 from .components import connected_components
 
@@ -140,7 +140,7 @@ def consistency_notes(spark: SparkSession, d: str) -> DataFrame:
 
 def literal_differences(spark: SparkSession, d: str) -> DataFrame:
     hit = F.explode(F.expr(f"arrays_zip(regexp_extract_all(content, r'{_PARAMETER}', 1), regexp_extract_all(content, r'{_PARAMETER}', 2))"))
-    rows = table(spark, d, "chunks").where("content is not null").select("document_key", hit.alias("h")).select("document_key", F.col("h.0").alias("parameter"), F.col("h.1").alias("value"))
+    rows = spread(table(spark, d, "chunks").select("pos", "document_key", "content"), "pos").where("content is not null").select("document_key", hit.alias("h")).select("document_key", F.col("h.0").alias("parameter"), F.col("h.1").alias("value"))
     own = rows.groupBy("document_key", "parameter").agg(F.countDistinct("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("greatest"))
     return own.where("n_values >= 2")
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_tokens, tokens
-from ..plans.tables import table
+from ..plans.tables import spread, table
 from . import retrieval as R
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("pos", "language", "version", "document_id", "document_key", "document_title", "heading_path", "content")
+    return spread(table(spark, d, "chunks").select("pos", "language", "version", "document_id", "document_key", "document_title", "heading_path", "content"), "pos")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -115,12 +115,12 @@ def vector_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    found = R.postings(table(spark, d, "chunks"), F.col("content"))
+    found = R.postings(spread(table(spark, d, "chunks").select("pos", "content"), "pos"), F.col("content"))
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
-    stats = R.corpus_stats(table(spark, d, "chunks"), F.col("content"))
+    stats = R.corpus_stats(spread(table(spark, d, "chunks").select("pos", "content"), "pos"), F.col("content"))
     return stats.select("n", F.round("avg_length", 6).alias("avg_length"))
 
 

@@ -18,13 +18,14 @@ FIELD_WEIGHTS = {"title": 3.0, "heading_path": 4.0, "body": 1.0}
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """(query_id, term, qtf): the distinct terms of each query."""
-    rows = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term"))
-    return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    rows = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokens(F.col(text))).alias("term"))
+    return rows.where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def postings(chunks: DataFrame, text: Column, terms: DataFrame | None = None) -> DataFrame:
     """(pos, term, tf, length) of the wanted terms, or of all; length counts all tokens of the chunk."""
-    rows = chunks.select("pos", tokens(text).alias("t")).select("pos", F.size("t").alias("length"), F.explode("t").alias("term"))
+    # explode_outer: of explode the optimizer infers a filter on the tokens, which would be computed once more below the scan's shuffle.
+    rows = chunks.select("pos", tokens(text).alias("t")).select("pos", F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term is not null")
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))

@@ -59,3 +59,9 @@ def written(df: DataFrame) -> DataFrame:
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than there are (a small table in one row group); else as it is, without a shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
