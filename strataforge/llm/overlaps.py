@@ -6,14 +6,13 @@ suffixes with a common prefix of L or more tokens, cross-split neighbours show a
 where it starts (the tokens before it differ), so it is shown once for each pair. The spans of a pair are merged
 into the share of each record they cover; the similarity of the token sets then decides.
 
-Crowded runs, with more than `crowd` cross-split pairs or more rows than are held at once (a set phrase, boilerplate), emit no pairs. Their
-records are joined exactly by another way instead: tokens ordered from rare to frequent, two sets of similarity t or more share two tokens
-among the first n - ceil(t n) + 2 of each, so both meet on a pair of rare tokens, which boilerplate is not.
+The similarity is on sets, so spread edits, other order and repetition may leave no span of L tokens. All texts are therefore joined
+exactly as well: tokens ordered from rare to frequent, two sets of similarity t or more share a token among the first
+n - ceil(t n) + 1 of each, so both meet on a rare token, which boilerplate is not; sizes, places and parities of tokens then rule
+out most pairs, never one with the similarity. Crowded runs, with more than `crowd`
+cross-split pairs or more rows than are held at once (a set phrase, boilerplate), emit no pairs and are left to that join.
 
-L is 12 for texts of more than 24 tokens and 5 for texts of at most 34, so texts between are compared under both and a
-pair whose sizes allow a similarity of 0.7 always shares an L. A pair is found if its texts share a span of L
-tokens: with similarity 0.7 and in-order edits the spans left average five or more words, or ten or more Han characters;
-measured against brute force, all pairs are found (tests, README).
+L is 12 for texts of more than 24 tokens and 5 for texts of at most 34, so texts between are compared under both.
 
 Defined cases: records are one per id, the latest by time (ties: the greatest text); null ids, splits and texts are left out;
 empty texts and texts without tokens have no partner; extra columns play no part. Equal texts of one side are compared
@@ -34,6 +33,7 @@ from ..plans.tables import written
 from .tokens import token_sequence, token_set
 
 LONG, SHORT, UP_TO, FROM, LONGEST = 12, 5, 34, 24, 100_000
+MEET, SPREAD = 1 << 18, 1 << 26
 
 
 def _grams(codes: np.ndarray, width: int) -> np.ndarray:
@@ -127,23 +127,70 @@ class _Runs:
 def _token_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.array(sorted(xxhash.xxh3_64_intdigest(t) >> 1 for t in token_set(text)), np.int64) for text in batch.column(2).to_pylist()]
+        marks = [[np.bitwise_xor.reduce(np.left_shift(np.int64(1), x[(x >> 6) & 1 == k] & 63)) for x in sets] for k in (0, 1)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rec", "side", "tokens", "packed"]
+            [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary()), *(pa.array(m, pa.int64()) for m in marks)],
+            names=["rec", "side", "tokens", "packed", "s1", "s2"],
         )
 
 
+def _meet_pass(threshold: float):
+    """Pairs (a, b) of rows of one sorted key and both sides whose sizes, places of the token and parities of tokens allow the similarity."""
+
+    def meet(a: list[np.ndarray], b: list[np.ndarray], out: list) -> None:
+        rec_a, n_a, at_a, x_a, y_a = a
+        rec_b, n_b, at_b, x_b, y_b = b
+        step = max(1, MEET // len(rec_b))
+        for i in range(0, len(rec_a), step):
+            c = slice(i, i + step)
+            both = n_a[c, None] + n_b
+            least = threshold * both / (1 + threshold) - 1e-6
+            # The token is the first one shared at some key of every pair; parities differ in at most as many bits as tokens are in one set only.
+            ok = np.minimum((n_a - at_a)[c, None], n_b - at_b) >= least
+            ok &= np.bitwise_count((x_a[c, None] ^ x_b).view(np.uint64)).astype(np.int64) + np.bitwise_count((y_a[c, None] ^ y_b).view(np.uint64)) <= both - 2 * least
+            i_a, i_b = np.nonzero(ok)
+            out.append((rec_a[c][i_a], rec_b[i_b]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        last = None
+        for batch in batches:
+            out: list = []
+            key, salt, side, *cols = (np.asarray(batch.column(i)) for i in range(8))
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1])])) if len(key) else []
+            for f, e in zip(cuts, [*cuts[1:], len(key)]):
+                rows = [c[f:e] for c in cols]
+                if (key[f], salt[f]) != last:
+                    held, last = [], (key[f], salt[f])
+                if side[f] == 0:
+                    held.append(rows)
+                elif held:
+                    held = [[np.concatenate(x) for x in zip(*held)]] if len(held) > 1 else held
+                    meet(held[0], rows, out)
+            a = np.concatenate([x for x, _ in out]) if out else np.array([], np.int64)
+            b = np.concatenate([x for _, x in out]) if out else np.array([], np.int64)
+            found = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    return run
+
+
 def _rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a superset of the cross-split pairs of the sets (rec, side, tokens) with the similarity, by pairs of rare tokens."""
-    tokens = sets.select("rec", "side", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    """(a, b): a superset of the cross-split pairs of the sets (rec, side, tokens, s1, s2) with the similarity, by rare tokens.
+
+    A token that many records of both sides meet on is spread: the evaluation records over salts, the training records to each.
+    """
+    tokens = sets.select("rec", F.explode("tokens").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(df, "token").groupBy("rec", "side", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
-    first = F.slice("tokens", 1, F.least(F.col("n"), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 2).cast("int")))
-    combos = F.when(F.col("n") == 1, F.transform("p", lambda x: F.xxhash64(x, x))).otherwise(
-        F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    )
-    keys = ordered.withColumn("p", first).select("rec", "side", F.explode(combos).alias("key"))
-    a, b = keys.where("side = 0").select(F.col("rec").alias("a"), "key"), keys.where("side = 1").select(F.col("rec").alias("b"), "key")
-    return a.join(b, "key").select("a", "b").distinct()
+    ordered = tokens.join(df, "token").groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+    first = F.slice("tokens", 1, (F.size("tokens") - F.ceil(F.size("tokens") * threshold - 1e-9) + 1).cast("int"))
+    keys = written(ordered.select("rec", F.posexplode(first).alias("at", "key")))
+    sized = keys.join(sets.select("rec", "side", F.size("tokens").alias("n"), "s1", "s2"), "rec")
+    many = sized.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("_a"), F.count_if(F.col("side") == 1).alias("_b")).where("_a > 0 and _b > 0")
+    many = many.select("key", F.ceil(F.col("_a") * F.col("_b") / SPREAD).cast("int").alias("_k"))
+    salts = F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.array(F.pmod("rec", "_k").cast("int")))
+    rows = sized.join(many, "key").select("key", F.explode(salts).alias("salt"), "side", "rec", F.col("n").cast("bigint"), F.col("at").cast("bigint"), "s1", "s2")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(_meet_pass(threshold), "a bigint, b bigint").distinct()
 
 
 def _with_end(batches):
@@ -200,9 +247,8 @@ def cross_split_overlaps(
     texts = rows.dropDuplicates(["rec"]).select("rec", "side", "text")
     suffixes = texts.mapInArrow(_suffix_pass, "gram bigint, rec bigint, side int, prev bigint")
     found = written(suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_Runs(crowd), "a bigint, b bigint").distinct())
-    sets = written(texts.mapInArrow(_token_pass, "rec bigint, side int, tokens array<bigint>, packed binary"))
-    crowded = sets.join(found.where("b is null").select(F.col("a").alias("rec")), "rec", "left_semi")
-    pairs = found.where("b is not null").union(_rare_pairs(crowded, threshold)).distinct()
+    sets = written(texts.mapInArrow(_token_pass, "rec bigint, side int, tokens array<bigint>, packed binary, s1 bigint, s2 bigint"))
+    pairs = found.where("b is not null").union(_rare_pairs(sets, threshold)).distinct()
     a, b = sets.select(F.col("rec").alias("a"), F.col("packed").alias("x")), sets.select(F.col("rec").alias("b"), F.col("packed").alias("y"))
     near = written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify_pass(threshold), "a bigint, b bigint, similarity double"))
     a, b = texts.select(F.col("rec").alias("a"), F.col("text").alias("x")), texts.select(F.col("rec").alias("b"), F.col("text").alias("y"))

@@ -108,6 +108,31 @@ def test_cross_split_overlaps_against_brute_force(spark):
     assert overlaps.cross_split_overlaps(df.limit(0), "case_id", "summary", "split", "at").count() == 0
 
 
+def test_cross_split_pairs_without_a_long_shared_span(spark):
+    rng = random.Random(12)
+
+    def spread(words, step):
+        return [w if (i + 1) % step else f"new{rng.randrange(10**6)}" for i, w in enumerate(words)]
+
+    pairs = [(WORDS[:35], spread(WORDS[:35], 12)), (WORDS[40:103], spread(WORDS[40:103], 10))]
+    han = [chr(0x4E00 + i) for i in rng.sample(range(3000), 35)]
+    pairs.append(("".join(han), "".join(chr(0x9000 + i) if i in (11, 23) else c for i, c in enumerate(han))))
+    short = WORDS[120:140]
+    pairs.append((short, short + short))
+    for length in range(40, 91, 10):
+        words = rng.sample(WORDS, length)
+        parts = [words[i : i + 8] for i in range(0, length, 8)]
+        pairs += [(words, spread(words, 9)), (words, sum(rng.sample(parts, len(parts)), [])), (words, [w for w in words for _ in range(2)])]
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        rows += [(f"{side}{k}", x if isinstance(x, str) else " ".join(x), split, 1) for side, x, split in (("a", a, "train"), ("b", b, "dev"))]
+    df = spark.createDataFrame(rows, "case_id string, summary string, split string, at int")
+    found = {tuple(r)[:2] for r in overlaps.cross_split_overlaps(df, "case_id", "summary", "split", "at").collect()}
+    own = {i: token_set(t) for i, t, _, _ in rows}
+    wanted = {(a, b) for a in own for b in own if a[0] == "a" and b[0] == "b" and similarity(own[a], own[b]) >= 0.7}
+    assert found == wanted and {(f"a{k}", f"b{k}") for k in range(len(pairs))} <= wanted
+
+
 def test_long_runs_are_not_held(monkeypatch):
     import pyarrow as pa
 
