@@ -83,6 +83,41 @@ def test_hot_bucket_blocks_lose_no_link():
         assert total < 20 * n
 
 
+def test_hot_bucket_links_across_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_duplicates, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    pairs, rows = near_duplicates._Buckets(0.7), []
+    far = near_duplicates.PARITIES - int(np.flatnonzero(pairs.keep)[0])
+    for _ in range(60):
+        # Two leaders out of reach, each with a member; only the members are near.
+        flips = rng.permutation(128)
+        bits = [(np.isin(np.arange(128), flips[:k])).astype(np.uint8) for k in (0, 10 + far, 5, 5 + far)]
+        rows.append(rng.integers(0, 2, 128).astype(np.uint8) ^ np.array(bits))
+    s = np.packbits(np.array(rows).transpose(1, 0, 2).reshape(-1, 128), axis=1).view(np.int64)
+    count = len(s)
+
+    def components(links):
+        parent = list(range(count))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        return [min(j for j in range(count) if root(j) == r) for r in map(root, range(count))]
+
+    near = [pairs.keep[pairs.agree((s[:, 0], s[:, 1]), (s[i, 0], s[i, 1]))] for i in range(count)]
+    every = {(i, j) for i in range(count) for j in np.flatnonzero(near[i]).tolist() if i < j}
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(count, 7)), pa.array(np.arange(count)), pa.array(np.full(count, 50, np.int32)), pa.array(s[:, 0]), pa.array(s[:, 1])], names=["key", "id", "n", "s1", "s2"])
+    for size in (count, 37, 97):
+        got = {p for out in pairs(iter([batch.slice(i, size) for i in range(0, count, size)])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+        assert got <= every and components(got) == components(every)
+
+
 def test_registers_merge_and_estimate():
     a, b = np.arange(60, dtype=np.uint32), np.arange(20, 80, dtype=np.uint32)
     both = np.unique(np.concatenate([a, b]))
