@@ -87,6 +87,32 @@ def hashed_vector_of(text: str, dimension: int = 512) -> np.ndarray:
     return (out / norm if norm else out).astype(np.float32)
 
 
+def hashed_matrix(texts: list[str], known: dict[int, int], dimension: int = 512) -> np.ndarray:
+    """hashed_vector_of of every text, one row each; `known` keeps the places of grams seen before."""
+    folded = ["".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in texts]
+    points = np.array([ord(c) for t in folded for c in t], np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in folded])
+    out = np.zeros(len(texts) * dimension)
+    code = points + 1
+    for n in (1, 2, 3):
+        if n > 1:
+            code = (code[:-1] << 21) | (points[n - 1 :] + 1)
+        within = row[: len(code)] == row[n - 1 :]
+        which, distinct = pd.factorize(code[within])
+        places = np.empty(len(distinct), np.int64)
+        if len(known) > 2_000_000:
+            known.clear()
+        for i, c in enumerate(distinct.tolist()):
+            if c not in known:
+                gram = "".join(chr(((c >> (21 * k)) & 0x1FFFFF) - 1) for k in range(n - 1, -1, -1))
+                known[c] = int.from_bytes(hashlib.sha256(gram.encode()).digest()[:4], "big") % dimension
+            places[i] = known[c]
+        out += np.bincount(row[: len(code)][within] * dimension + places[which], minlength=len(out))
+    out = out.reshape(len(texts), dimension)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def hashed_vector(x: pd.Series) -> pd.Series:
     return x.map(hashed_vector_of, na_action="ignore")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import hashed_vector
 from ..functions.text import sql_tokens, tokens
-from ..plans.tables import spread, table
+from ..plans.tables import spread, table, written
 from . import retrieval as R
 
 
@@ -91,6 +92,32 @@ def pool_rerank(spark: SparkSession, d: str) -> DataFrame:
     return _out(R.ranked(again, [F.desc("score"), F.asc("pos")], 5))
 
 
+def _dense_and_bm25(spark: SparkSession, d: str, depth: int) -> DataFrame:
+    chunks, queries = _chunks(spark, d), _queries(spark, d)
+    dense = R.hashed_hits(chunks, queries, depth).withColumn("list_id", F.lit(0))
+    lexical = R.ranked(R.bm25(chunks, queries), [F.desc("score"), F.asc("pos")], depth).withColumn("list_id", F.lit(1))
+    return dense.unionByName(lexical)
+
+
+def dense_hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    """RRF of the hashed vectors (list 0) and BM25 (list 1)."""
+    return R.fused(_dense_and_bm25(spark, d, 50), 5)
+
+
+def dense_weighted_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return R.fused(_dense_and_bm25(spark, d, 50), 5, weight=F.when(F.col("list_id") == 0, 0.7).otherwise(0.3))
+
+
+def dense_pool_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The best hundred of BM25, ordered anew by the hashed vectors."""
+    chunks, queries = _chunks(spark, d), _queries(spark, d)
+    pool = written(R.ranked(R.bm25(chunks, queries), [F.desc("score"), F.asc("pos")], 100).select("query_id", "pos"))
+    vectors = chunks.select("pos", "content").join(pool.select("pos").distinct(), "pos", "left_semi").select("pos", hashed_vector("content").alias("v"))
+    asked = queries.select("query_id", hashed_vector("query").alias("q"))
+    scores = pool.join(vectors, "pos").join(asked, "query_id").select("query_id", "pos", F.round(R.dot("v", "q"), 6).alias("score"))
+    return _out(R.ranked(scores, [F.desc("score"), F.asc("pos")], 5))
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, d, "embeddings")
     return vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("scope"))
@@ -168,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_scoped, bm25_fields_topk, bm25_source_diverse, bm25_doc_cap, scoped_stats_bm25, token_overlap_topk, hybrid_rrf, weighted_rrf, generic_rrf, faceted_rrf,
-        pool_rerank, dense_topk, dense_scoped_topk, dense_two_level, vector_checks, term_stats, corpus_summary, token_counts, facet_split, query_coverage, retrieval_signals,
+        pool_rerank, dense_hybrid_rrf, dense_weighted_rrf, dense_pool_rerank, dense_topk, dense_scoped_topk, dense_two_level, vector_checks, term_stats, corpus_summary, token_counts, facet_split, query_coverage, retrieval_signals,
     )
 }
 

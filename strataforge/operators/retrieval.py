@@ -7,10 +7,16 @@ Queries and chunks meet on terms; the query side is broadcast only where the eng
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import hashed_matrix
 from ..functions.text import tokens
+from ..plans.tables import written
 
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"title": 3.0, "heading_path": 4.0, "body": 1.0}
@@ -132,6 +138,51 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int, same_scope: bool
     return ranked(scored, [F.desc("score"), F.asc("vec_id")], k)
 
 
+def _block_pass(size: int = 1024):
+    """Blocks of (ids, vectors) of the rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                ids = part.column(0).to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([hashed_matrix(part.column(1).to_pylist(), known).tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    return run
+
+
+def _score_pass(k: int):
+    """The best k of each block of chunks for each query of a block; among equal scores the first positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vectors, query_ids, query_vectors in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                pos, asked = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
+                x, q = (np.frombuffer(v, np.float32).reshape(n, -1).astype(np.float64) for v, n in ((vectors, len(pos)), (query_vectors, len(asked))))
+                order = np.argsort(pos)
+                pos, scores = pos[order], np.round(q @ x[order].T, 6)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(asked, best.shape[1])), pa.array(pos[best].ravel()), pa.array(np.take_along_axis(scores, best, axis=1).ravel())], names=["query_id", "pos", "score"]
+                )
+
+    return run
+
+
+def hashed_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, pos, score, rank): exact top k of all chunks (pos, content) by the dot product of hashed vectors, scored block by block.
+
+    The queries (query_id, query) are a stated set against all rows; every chunk with a content has a vector, whether or not it shares a token.
+    """
+    sides = []
+    for rows in (chunks.select(F.col("pos").cast("bigint"), "content").where("pos is not null and content is not null"), queries.select(F.col("query_id").cast("bigint"), "query").where("query is not null")):
+        sides.append(rows.mapInArrow(_block_pass(), "ids binary, vectors binary"))
+    pairs = sides[0].crossJoin(written(sides[1]).toDF("query_ids", "query_vectors"))
+    best = pairs.mapInArrow(_score_pass(k), "query_id bigint, pos bigint, score double")
+    return ranked(best, [F.desc("score"), F.asc("pos")], k)
+
+
 def facets(query: Column, most: int = 4) -> Column:
     """Explicit clauses at `;`, `；` and line breaks, list marks stripped; one clause gives the query as it is, those beyond `most` are joined."""
     parts = F.filter(F.transform(F.split(query, "[;；\\n]+"), lambda p: F.trim(F.regexp_replace(p, "^\\s*(?:[-*•]|\\d+[.)、])\\s*", ""))), lambda p: p != "")

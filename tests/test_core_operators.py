@@ -183,3 +183,39 @@ def test_rules(spark):
     kinds = {"x": ["set", "阈值"], "y": ["setting"]}
     got = [r[0] for r in spark.createDataFrame([("Set it",), ("settings",), ("调阈值 setting",), (None,)], "t string").select(rules.keyword_class(F.col("t"), kinds)).collect()]
     assert got == ["x", "general", "x", "general"]
+
+
+def test_dense_leg_finds_chunks_without_a_shared_token(spark, tmp_path):
+    import numpy as np
+
+    from strataforge.operators import queries_retrieval as Q
+
+    rng = random.Random(6)
+    contents = [" ".join(rng.choices(["alpha", "beta", "gamma", "版本升级", "delta"], k=rng.randrange(1, 9))) for _ in range(60)] + ["configurations", "", None, "x"]
+    rows = [(i, "en", "v1", "d", "k", "t", ["h"], c) for i, c in enumerate(contents)]
+    spark.createDataFrame(rows, "pos bigint, language string, version string, document_id string, document_key string, document_title string, heading_path array<string>, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    asked = {0: "configuration alpha", 100: "版本", 200: None, 300: "gamma"}
+    spark.createDataFrame([(i, q) for i, q in asked.items()] + [(7, "alpha")], "pos bigint, query string").write.parquet(f"{tmp_path}/cases.parquet")
+    vectors = {i: rules.hashed_vector_of(c).astype(float) for i, c in enumerate(contents) if c is not None}
+    score = {(q, i): round(float(rules.hashed_vector_of(t).astype(float) @ v), 6) for q, t in asked.items() if t for i, v in vectors.items()}
+    best = {q: sorted(vectors, key=lambda i: (-score[q, i], i)) for q, t in asked.items() if t}
+    texts = [c for c in contents if c is not None]
+    assert (rules.hashed_matrix(texts, {}) == np.array([rules.hashed_vector_of(c) for c in texts])).all()
+    chunks, queries = Q._chunks(spark, str(tmp_path)), Q._queries(spark, str(tmp_path))
+    hits = R.hashed_hits(chunks, queries, 20).collect()
+    assert {(r["query_id"], r["rank"]): (r["pos"], r["score"]) for r in hits} == {(q, k + 1): (i, pytest.approx(score[q, i], abs=2e-6)) for q in best for k, i in enumerate(best[q][:20])}
+    bm = {}
+    for r in R.ranked(R.bm25(chunks, queries), [F.desc("score"), F.asc("pos")], 100).collect():
+        bm.setdefault(r["query_id"], {})[r["pos"]] = r["rank"]
+    for name, w in (("dense_hybrid_rrf", (1, 1)), ("dense_weighted_rrf", (0.7, 0.3))):
+        wanted = set()
+        for q in best:
+            total = {}
+            for weight, ranks in ((w[0], {i: k + 1 for k, i in enumerate(best[q][:50])}), (w[1], {i: k for i, k in bm.get(q, {}).items() if k <= 50})):
+                for i, k in ranks.items():
+                    total[i] = total.get(i, 0) + weight / (60 + k)
+            wanted |= {(q, i, k + 1) for k, i in enumerate(sorted(total, key=lambda i: (-round(total[i], 9), i))[:5])}
+        assert {(r["query_id"], r["pos"], r["rank"]) for r in Q.QUERIES[name](spark, str(tmp_path)).collect()} == wanted
+    assert 60 in best[0][:5] and 60 not in bm[0]
+    again = {(r["query_id"], r["pos"], r["rank"]) for r in Q.dense_pool_rerank(spark, str(tmp_path)).collect()}
+    assert again == {(q, i, k + 1) for q in best for k, i in enumerate([i for i in best[q] if i in bm.get(q, {})][:5])}
