@@ -18,6 +18,14 @@ def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> D
     return o.join(n, keys, "full_outer").withColumn("change_type", kind).drop("_o", "_n")
 
 
+def stepped(df: DataFrame, path: list[str], step: str, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """`df` as the old and as the new side of every two consecutive existing steps of a path, with the columns from and to."""
+    steps = df.where(F.col(step).isNotNull()).select(*path, step).distinct()
+    w = Window.partitionBy(*path).orderBy(*([order] if order is not None else []), step)
+    steps = steps.select(*path, F.col(step).alias("from"), F.lead(step).over(w).alias("to")).where("to is not null")
+    return df.join(steps.withColumn(step, F.col("from")), [*path, step]).drop(step), df.join(steps.withColumn(step, F.col("to")), [*path, step]).drop(step)
+
+
 def diff_summary(diff: DataFrame, by: list[str]) -> DataFrame:
     """Counts of the four classes, zero where there are none."""
     return diff.groupBy(*by).agg(*(F.count_if(F.col("change_type") == k).alias(k.lower()) for k in ("ADDED", "REMOVED", "MODIFIED", "UNCHANGED")), F.count("*").alias("total"))

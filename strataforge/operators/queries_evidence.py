@@ -139,6 +139,16 @@ def carried_titles(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("snapshot_no = 2").join(old, ["project_id", "identifier", "hash"], "left").select("project_id", "identifier", F.coalesce("title", "old_title").alias("title"), (F.col("title").isNull() & F.col("old_title").isNotNull()).alias("carried"))
 
 
+def carried_title_steps(spark: SparkSession, d: str) -> DataFrame:
+    """carried_titles of every snapshot that has an earlier one, from the one before it."""
+    rows = table(spark, d, "engineering_snapshots").select("project_id", "snapshot_no", F.lower(F.trim("external_identifier")).alias("identifier"), "title", content_hash(F.col("content")).alias("hash"), "delivered_at", "item_id")
+    rows = L.latest(rows.where("identifier is not null"), ["project_id", "snapshot_no", "identifier"], [F.desc("delivered_at"), F.desc("hash"), F.desc("item_id")])
+    keys = ["project_id", "from", "to", "identifier"]
+    old, new = L.stepped(rows, ["project_id"], "snapshot_no")
+    old = old.select(*keys, "hash", F.col("title").alias("old_title"))
+    return new.join(old, [*keys, "hash"], "left").select(*keys, F.coalesce("title", "old_title").alias("title"), (F.col("title").isNull() & F.col("old_title").isNotNull()).alias("carried"))
+
+
 def location_join(spark: SparkSession, d: str) -> DataFrame:
     """Items with others at the same location (project, version, document, section), counted without pairing them."""
     rows = table(spark, d, "engineering_snapshots").select("project_id", "version_id", "document_id", "section_id", F.lower(F.trim("external_identifier")).alias("identifier")).distinct()
@@ -173,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         citation_membership, required_first, language_coverage, request_evidence, expanded_context, facet_filter, allowed_paths, exclusion_reasons, version_ingest_report, version_status, policy_gate, case_set_checks,
-        carried_titles, location_join, adjacent_chunks, engineering_items, identifier_positions, embedded_passages,
+        carried_titles, carried_title_steps, location_join, adjacent_chunks, engineering_items, identifier_positions, embedded_passages,
     )
 }
 

@@ -45,6 +45,27 @@ def item_diff(spark: SparkSession, d: str) -> DataFrame:
     return L.keyed_diff(rows.where("snapshot_no = 1"), rows.where("snapshot_no = 2"), keys, "hash").select(*keys, "change_type")
 
 
+def section_diff_steps(spark: SparkSession, d: str) -> DataFrame:
+    """section_diff between every two consecutive existing versions of a document, in the order of their numbers."""
+    rows = _pieces(spark, d).select("document_key", F.split("chunk_id", ":")[1].alias("lang"), _number().alias("number"), "version", content_hash(F.col("content")).alias("hash"))
+    rows = rows.groupBy("document_key", "lang", "number", "version").agg(F.max("hash").alias("hash"))
+    numbers = F.transform(F.regexp_extract_all("version", F.lit("([0-9]+)")), lambda x: x.cast("bigint"))
+    keys = ["document_key", "from", "to", "lang", "number"]
+    return L.keyed_diff(*L.stepped(rows, ["document_key"], "version", numbers), keys, "hash").select(*keys, "change_type")
+
+
+def diff_summary_steps(spark: SparkSession, d: str) -> DataFrame:
+    return L.diff_summary(section_diff_steps(spark, d), ["document_key", "from", "to"])
+
+
+def item_diff_steps(spark: SparkSession, d: str) -> DataFrame:
+    """item_diff between every two consecutive existing snapshots of a project."""
+    rows = table(spark, d, "engineering_snapshots").select("project_id", "snapshot_no", F.lower(F.trim("external_identifier")).alias("identifier"), content_hash(F.col("content")).alias("hash"), "delivered_at", "item_id")
+    rows = L.latest(rows.where("identifier is not null"), ["project_id", "snapshot_no", "identifier"], [F.desc("delivered_at"), F.desc("hash"), F.desc("item_id")])
+    keys = ["project_id", "from", "to", "identifier"]
+    return L.keyed_diff(*L.stepped(rows, ["project_id"], "snapshot_no"), keys, "hash").select(*keys, "change_type")
+
+
 def recorded_change_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "item_changes").groupBy("project_id", "change_type").agg(F.count("*").alias("n"), F.countDistinct(F.lower(F.trim("external_identifier"))).alias("identifiers"), F.max("recorded_at").alias("last_recorded"))
 
@@ -210,6 +231,13 @@ def append_only_extension(spark: SparkSession, d: str) -> DataFrame:
     return lost.groupBy("project_id").agg(F.count("*").alias("lost_rows"))
 
 
+def append_only_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Per project and two consecutive existing snapshots: rows of the first not present in the second, equal in all columns but those of the delivery (ids of item and version, time)."""
+    rows = table(spark, d, "engineering_snapshots").withColumn("metadata", F.array_sort(F.map_entries("metadata"))).drop("item_id", "version_id", "delivered_at")
+    old, new = L.stepped(rows, ["project_id"], "snapshot_no")
+    return old.exceptAll(new.select(*old.columns)).groupBy("project_id", "from", "to").agg(F.count("*").alias("lost_rows"))
+
+
 def evidence_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The first chunk of each (document, content) in order of position."""
     rows = table(spark, d, "chunks").select("pos", "document_key", content_hash(F.col("content")).alias("hash"))
@@ -253,7 +281,7 @@ def alternating_split(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        section_diff, diff_summary, item_diff, recorded_change_summary, chunk_enrichment, chunks_without_source, duplicate_chunk_ids, catalog_rows, version_catalog_checks, lineage_supersedes,
+        section_diff, diff_summary, item_diff, section_diff_steps, diff_summary_steps, item_diff_steps, append_only_steps, recorded_change_summary, chunk_enrichment, chunks_without_source, duplicate_chunk_ids, catalog_rows, version_catalog_checks, lineage_supersedes,
         document_catalogue, source_breakdown, source_breakdown_sets, license_disposition, relation_adjacency, relation_summary, impact_discovery, consistency_notes, literal_differences,
         exact_identifier_match, freshness_join, affected_cases, section_neighbours, section_anchor, incremental_embedding_reuse, union_of_rows, required_sources_found, append_only_extension,
         evidence_dedup, family_components, family_split_leaks, hash_ordered_holdout, alternating_split,

@@ -102,6 +102,16 @@ def recorded_change_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("recorded", F.coalesce("actual", F.lit("NONE")).alias("actual")).agg(F.count("*").alias("n"))
 
 
+def recorded_change_accuracy_steps(spark: SparkSession, d: str) -> DataFrame:
+    """recorded_change_accuracy, where the step to a snapshot is from the one before it that exists."""
+    from .queries_lifecycle import item_diff_steps
+
+    actual = item_diff_steps(spark, d).select("project_id", F.col("to").alias("to_no"), "identifier", F.col("change_type").alias("actual"))
+    said = table(spark, d, "item_changes").select("project_id", F.expr("try_cast(regexp_extract(new_version_id, 's([0-9]+)$', 1) as int)").alias("to_no"), F.lower(F.trim("external_identifier")).alias("identifier"), F.col("change_type").alias("recorded")).distinct()
+    both = said.where("to_no is not null").join(actual, ["project_id", "to_no", "identifier"], "left")
+    return both.groupBy("recorded", F.coalesce("actual", F.lit("NONE")).alias("actual")).agg(F.count("*").alias("n"))
+
+
 def family_precision(spark: SparkSession, d: str) -> DataFrame:
     """Derived cases as predictions of their parent's family: precision and recall; an empty denominator counts as 1."""
     one = table(spark, d, "cases").groupBy("case_id").agg(F.max("derived_from").alias("parent"), F.max(F.translate(F.lower(F.trim("family_id")), "- ", "__")).alias("family"))
@@ -126,7 +136,7 @@ def percent_reduction(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        eval_summary, eval_by_category, eval_conventions, eval_at_ks, policy_comparison, no_answer_scores, failure_grouping, marker_recall, recorded_change_accuracy, family_precision, latency_stats, percent_reduction,
+        eval_summary, eval_by_category, eval_conventions, eval_at_ks, policy_comparison, no_answer_scores, failure_grouping, marker_recall, recorded_change_accuracy, recorded_change_accuracy_steps, family_precision, latency_stats, percent_reduction,
     )
 }
 

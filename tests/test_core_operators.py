@@ -219,3 +219,33 @@ def test_dense_leg_finds_chunks_without_a_shared_token(spark, tmp_path):
     assert 60 in best[0][:5] and 60 not in bm[0]
     again = {(r["query_id"], r["pos"], r["rank"]) for r in Q.dense_pool_rerank(spark, str(tmp_path)).collect()}
     assert again == {(q, i, k + 1) for q in best for k, i in enumerate([i for i in best[q] if i in bm.get(q, {})][:5])}
+
+
+def test_diffs_cover_all_existing_steps(spark, tmp_path):
+    from strataforge.operators import queries_evidence, queries_lifecycle, queries_metrics
+
+    items = {1: {"a": "one", "b": "two"}, 3: {"a": "one", "b": "Three", "c": "x"}, 8: {"a": "one"}}
+    rows = [(n, T0, f"{k}{n}", "p", f" {k.upper()} ", None if n == 3 else f"title {k}", text, f"s{n}", {"m": "1" if n < 8 else "2"}) for n, own in items.items() for k, text in own.items()]
+    spark.createDataFrame(rows, "snapshot_no int, delivered_at timestamp, item_id string, project_id string, external_identifier string, title string, content string, version_id string, metadata map<string,string>").write.parquet(f"{tmp_path}/engineering_snapshots.parquet")
+    spark.createDataFrame([("p", "B", "MODIFIED", "p-s3"), ("p", "b", "REMOVED", "p-s8"), ("p", "q", "ADDED", "p-s8")], "project_id string, external_identifier string, change_type string, new_version_id string").write.parquet(f"{tmp_path}/item_changes.parquet")
+    chunks = [(i, f"doc:en:{k}", "d", f"{v}", c, T0) for i, (v, k, c) in enumerate([("v1.9.0", 1, "a"), ("v1.9.0", 2, "b"), ("v1.10.0", 1, "a"), ("v1.10.0", 2, "B"), ("v3.0.0", 1, "c")])]
+    chunks = [(i, f"{c}:{v}", k, v, t, at) for i, c, k, v, t, at in chunks]
+    df = spark.createDataFrame(chunks, "pos bigint, chunk_id string, document_key string, version string, content string, ingested_at timestamp")
+    df = df.withColumn("chunk_id", F.concat(F.col("version"), F.lit(":en:"), F.split("chunk_id", ":")[2]))
+    for name in ("document_id", "language", "heading", "repository", "license"):
+        df = df.withColumn(name, F.lit("x"))
+    df.withColumn("heading_path", F.array(F.lit("x"))).write.parquet(f"{tmp_path}/chunks.parquet")
+
+    def rows_of(f):
+        return {tuple(r) for r in f(spark, str(tmp_path)).collect()}
+
+    assert rows_of(queries_lifecycle.item_diff_steps) == {
+        ("p", 1, 3, "a", "UNCHANGED"), ("p", 1, 3, "b", "MODIFIED"), ("p", 1, 3, "c", "ADDED"), ("p", 3, 8, "a", "UNCHANGED"), ("p", 3, 8, "b", "REMOVED"), ("p", 3, 8, "c", "REMOVED"),
+    }
+    assert rows_of(queries_lifecycle.append_only_steps) == {("p", 1, 3, 2), ("p", 3, 8, 3)}
+    assert rows_of(queries_evidence.carried_title_steps) == {("p", 1, 3, "a", "title a", True), ("p", 1, 3, "b", None, False), ("p", 1, 3, "c", None, False), ("p", 3, 8, "a", "title a", False)}
+    assert rows_of(queries_metrics.recorded_change_accuracy_steps) == {("MODIFIED", "MODIFIED", 1), ("REMOVED", "REMOVED", 1), ("ADDED", "NONE", 1)}
+    assert rows_of(queries_lifecycle.section_diff_steps) == {
+        ("d", "v1.9.0", "v1.10.0", "en", 1, "UNCHANGED"), ("d", "v1.9.0", "v1.10.0", "en", 2, "MODIFIED"), ("d", "v1.10.0", "v3.0.0", "en", 1, "MODIFIED"), ("d", "v1.10.0", "v3.0.0", "en", 2, "REMOVED"),
+    }
+    assert rows_of(queries_lifecycle.diff_summary_steps) == {("d", "v1.9.0", "v1.10.0", 0, 0, 1, 1, 2), ("d", "v1.10.0", "v3.0.0", 0, 1, 1, 0, 2)}
