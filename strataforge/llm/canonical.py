@@ -44,12 +44,12 @@ UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 
 PROTOTYPE = {ord(c): k for own, latin in ALIKE.values() for c, k in zip(own, latin)}
 BACK = {script: {k: c for c, k in reversed(list(zip(own, latin)))} for script, (own, latin) in ALIKE.items()}
-_JOINED = re.compile("(?<![؀-ࣿऀ-႟ក-៿\U0001f000-\U0001faff☀-➿️])[‌‍]")
+_JOINED = re.compile("(?<![؀-ࣿऀ-\u0dff\u1000-႟ក-៿\U0001f000-\U0001faff☀-➿️])[‌‍]")
 _WORD = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0300-\u036f\u0370-\u058f\u1e00-\u1fff]+")
 _FOREIGN = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 # A text without any of these has its form already.
 _SUSPECT = re.compile(
-    "[^\\n\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u017f\\u0e00-\\u0e7f\\u3001-\\u303f\\u3041-\\u3098\\u309b-\\u30ff\\u3400-\\u9fff"
+    "[^\\n\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u0131\\u0134-\\u017f\\u0e00-\\u0e7f\\u3001-\\u303f\\u3041-\\u3098\\u309b-\\u30ff\\u3400-\\u9fff"
     "\\uff01-\\uff0c\\uff0e\\uff0f\\uff1a-\\uff20\\uff3b-\\uff40\\uff5b-\\uff65\\u2012-\\u2027\\u00b2\\u00b3\\u2460-\\u24ff]"
 )
 

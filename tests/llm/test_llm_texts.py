@@ -132,3 +132,14 @@ def test_sentences_operator(spark):
     assert [(r["sentence_no"], r["sentence"]) for r in found if r["id"] == 1] == [(1, "One."), (2, "Two.")]
     assert {r["id"] for r in found} == {1, 4}
     assert S.sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_characters_that_show_nothing_change_no_form():
+    from strataforge.llm.canonical import canonical as form
+
+    for code in [*range(0x20, 0x3000), *range(0xF900, 0x10000)]:
+        assert form(f"a{chr(code)}b") == form(f"a{chr(code)}b\u200b"), hex(code)
+    assert form("r\u0133k") == "rijk"
+    for letter in "กກཀ":
+        assert form(letter + "\u200d" + letter) == letter * 2
+    assert form("क\u200dष") != form("कष")
