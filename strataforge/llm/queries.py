@@ -44,7 +44,8 @@ def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_overlaps(spark, d).select(F.col("id_a").alias("case_id_a"), F.col("id_b").alias("case_id_b"))
+    """The overlapping pairs, the smaller id first, whichever side it is on."""
+    return p3_overlaps(spark, d).select(F.least("id_a", "id_b").alias("case_id_a"), F.greatest("id_a", "id_b").alias("case_id_b")).distinct()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
