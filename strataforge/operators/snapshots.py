@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.unicode import squeezed
@@ -36,7 +36,10 @@ def _digest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunk_pass(mean: int):
-    """Adds to sorted rows the number of their chunk within the partition."""
+    """Adds to sorted rows the name of their chunk: the hash of the key it begins at, 0 where a range or a project begins.
+
+    A name depends on the boundary key alone, so the digests of a delivery can be kept and held against a later one's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, chunk = (None, None), 0
@@ -44,8 +47,11 @@ def _chunk_pass(mean: int):
             out = np.empty(batch.num_rows, np.int64)
             for i, (project, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 if (project, key) != last:
-                    if project != last[0] or xxhash.xxh3_64_intdigest(key) % mean == 0:
-                        chunk += 1
+                    named = xxhash.xxh3_64_intdigest(key)
+                    if named % mean == 0:
+                        chunk = named - (1 << 63)
+                    elif project != last[0]:
+                        chunk = 0
                     last = (project, key)
                 out[i] = chunk
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "chunk"])
@@ -65,6 +71,12 @@ def latest_rows(df: DataFrame, project: str, number: str, key: str, content: str
     return digests.groupBy("project", "no", "key").agg(F.max(F.struct("own", "digest")).alias("r")).select("project", "no", "key", "r.own", "r.digest")
 
 
+def following(numbers: DataFrame, project: str, number: str) -> DataFrame:
+    """(project, from_no, to_no): each number of a project with the next one there is; `numbers` has a row a snapshot, not an item."""
+    ahead = F.lead(number).over(Window.partitionBy(project).orderBy(number))
+    return numbers.select(F.col(project).alias("project"), F.col(number).alias("from_no"), ahead.alias("to_no")).where("to_no is not null")
+
+
 def snapshot_changes(df: DataFrame, project: str, number: str, key: str, content: str, time: str, row_id: str, mean: int = 64) -> DataFrame:
     """(project, key, from_no, to_no, change_type, old_own, new_own): ADDED, REMOVED and MODIFIED rows."""
     rows = latest_rows(df, project, number, key, content, time, row_id)
@@ -76,9 +88,7 @@ def snapshot_changes(df: DataFrame, project: str, number: str, key: str, content
         .withColumn("part", F.spark_partition_id())
         .withColumn("row", F.xxhash64("key", "digest"))
     )
-    numbers = chunked.select("project", "no").distinct()
-    following = numbers.alias("x").join(numbers.alias("y"), (F.col("x.project") == F.col("y.project")) & (F.col("y.no") > F.col("x.no")))
-    steps = following.groupBy(F.col("x.project").alias("project"), F.col("x.no").alias("from_no")).agg(F.min("y.no").alias("to_no"))
+    steps = following(chunked.select("project", "no").distinct(), "project", "no")
     sums = chunked.groupBy("project", "no", "part", "chunk").agg(F.count("*").alias("k"), F.sum(F.col("row").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.col("row"), F.lit(1))).alias("x"))
     step_sums = sums.join(steps.withColumnRenamed("from_no", "no"), ["project", "no"]).withColumnRenamed("no", "from_no")
     next_sums = sums.select(F.col("project"), F.col("no").alias("to_no"), "part", "chunk", F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("x").alias("x2")).join(steps, ["project", "to_no"])
