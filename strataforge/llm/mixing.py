@@ -62,9 +62,10 @@ def mixture(df: DataFrame, targets: DataFrame, row_id: str, text: str, source: s
     wanted = [(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").collect()]
     weights = df.sparkSession.createDataFrame(wanted, "source string, weight double, repeats int")
     rows = df.withColumn("_source", source_name(source)).join(F.broadcast(weights), F.col("_source") == weights["source"], "left_semi")
+    # Written before the range sort, whose sampling would count all tokens a second time.
     counted = token_counts(rows.withColumnRenamed("_source", "_name").drop("source").withColumnRenamed("_name", "source"), row_id, text, ["source"], path)
-    counted = counted.withColumn("place", F.xxhash64(F.lit(seed), F.col("id").cast("string")))
-    lined = written(running_total(counted, ["place", "id"], "tokens", "upto", by="source"))
+    counted = written(counted).withColumn("place", F.xxhash64(F.lit(seed), F.col("id").cast("string")))
+    lined = running_total(counted, ["place", "id"], "tokens", "upto", by="source")
     sums = {r["source"]: r["t"] for r in lined.groupBy("source").agg(F.sum("tokens").alias("t")).collect() if r["t"]}
     able = [(sums[s] * k, w) for s, w, k in wanted if s in sums]
     if budget is None:

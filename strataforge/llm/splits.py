@@ -71,17 +71,17 @@ def assign_splits(groups: DataFrame, targets: list[tuple[str, float]]) -> DataFr
     """(id, group_id, split) from (id, group_id) and the wanted shares (three or so, given in order)."""
     sizes = written(groups.groupBy("group_id").agg(F.count("*").alias("size")))
     counts = greedy_counts([(r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count("*").alias("n")).collect()], targets)
-    ranked = running_total(sizes.withColumn("one", F.lit(1).cast("bigint")).withColumn("down", -F.col("size")), ["down", "group_id"], "one", "rank")
-    bounds, before = [], 0
-    for size in sorted(counts, reverse=True):
+    ranked = running_total(sizes.withColumn("one", F.lit(1).cast("bigint")), ["group_id"], "one", "rank", by="size")
+    bounds = []
+    for size in counts:
+        before = 0
         for (name, _), k in zip(targets, counts[size]):
             if k:
-                bounds.append((before + 1, before + k, name))
+                bounds.append((size, before + 1, before + k, name))
                 before += k
-    spark = groups.sparkSession
-    table = spark.createDataFrame(bounds, "low bigint, high bigint, split string") if bounds else spark.createDataFrame([], "low bigint, high bigint, split string")
-    # One row for each size and split: at most 3 sqrt(2 x records).
-    placed = ranked.join(F.broadcast(table), F.col("rank").between(F.col("low"), F.col("high"))).select("group_id", "split")
+    # One row for each size and split, at most 3 sqrt(2 x records); joined on the size, so the engine may hash it whatever its size.
+    table = groups.sparkSession.createDataFrame(bounds, "size bigint, low bigint, high bigint, split string")
+    placed = ranked.join(table, "size").where(F.col("rank").between(F.col("low"), F.col("high"))).select("group_id", "split")
     return groups.join(placed, "group_id").select("id", "group_id", "split")
 
 
