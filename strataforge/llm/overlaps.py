@@ -1,22 +1,24 @@
 """Problem 3: records of evaluation splits that stand, exactly or almost, in the training split.
 
-The texts of all records are laid end to end as token sequences; their suffixes are partitioned by a hash of the
-first L tokens, so all suffixes sharing L or more tokens lie in one partition, and sorted there. Within a run of
-suffixes with a common prefix of L or more tokens, cross-split neighbours show a shared span; a span is taken
-where it starts (the tokens before it differ), so it is shown once for each pair. The spans of a pair are merged
-into the share of each record they cover; the similarity of the token sets then decides.
-
-The similarity is on sets, so spread edits, other order and repetition may leave no span of L tokens. All texts are therefore joined
-exactly as well: tokens ordered from rare to frequent, two sets of similarity t or more share a token among the first
-n - ceil(t n) + 1 of each, so both meet on a rare token, which boilerplate is not; sizes, places and parities of tokens then rule
-out most pairs, never one with the similarity. Crowded runs, with more than `crowd`
-cross-split pairs or more rows than are held at once (a set phrase, boilerplate), emit no pairs and are left to that join.
-
-L is 12 for texts of more than 24 tokens and 5 for texts of at most 34, so texts between are compared under both.
+The similarity is one of token sets, so every record's text is laid out as its distinct tokens in one order for all records, rare tokens
+first: whatever order, repetition or place of edits the records had, what two of them share are then spans of these texts.
+The texts of all records make up a suffix array, partitioned by first token and sorted within each partition by the tokens
+that follow. Suffixes with the same first token form an interval; its suffixes of both splits with a common prefix show a span
+the two records share, taken where it starts (the tokens before it differ). Spans are merged along the two
+texts into the share of each record they cover, and the similarity follows from these shares.
+
+No span length is asked for and nothing is left out for being frequent. Two sets of n and m tokens with similarity t or more share
+t / (1 + t) (n + m) tokens, so their first shared span starts within the first n - ceil(t n) + 1 tokens of either: only
+suffixes from there are built. Tokens of one split only are counted as rarest; they stand first and make no suffix. The
+tokens left behind the start, the common prefix and the parities of the tokens rule out most pairs of an interval, never one with
+the similarity; the rest is verified on the whole texts.
+
+Hot intervals: an interval with more than `BLOCK` records of a split is laid out as a grid of cells, each a block of training
+records against a block of evaluation records, so one task never holds more than two blocks. Equal token sets of a split
+are one class, compared once and spread over their records at the end.
 
 Defined cases: records are one per id, the latest by time (ties: the greatest text); null ids, splits and texts are left out;
-empty texts and texts without tokens have no partner; extra columns play no part. Equal texts of one side are compared
-once and spread over their records at the end.
+texts without tokens have no partner; repeated rows are one record; extra columns play no part; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,167 +32,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import written
-from .tokens import token_sequence, token_set
-
-LONG, SHORT, UP_TO, FROM, LONGEST = 12, 5, 34, 24, 100_000
-MEET, SPREAD = 1 << 18, 1 << 26
-
+from .tokens import token_set
 
-def _grams(codes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the `width` tokens from each place on; fewer at the end, marked by their number."""
-    h = np.full(len(codes), width, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            there = codes[k:] if k < len(codes) else codes[:0]
-            add = np.concatenate([there, np.zeros(len(codes) - len(there), np.uint64)])
-            h = (h ^ add) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-    return h
-
-
-def _suffix_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashed: dict[str, int] = {}
-    for batch in batches:
-        parts: list[list[np.ndarray]] = []
-        for row, side, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            words = token_sequence(text)
-            if len(hashed) > 300_000:
-                hashed.clear()
-            for w in words:
-                if w not in hashed:
-                    hashed[w] = xxhash.xxh3_64_intdigest(w) | 1
-            codes = np.array([hashed[w] for w in words], np.uint64)
-            before = np.concatenate([np.zeros(1, np.uint64), codes])[:-1] if len(codes) else codes
-            for width in [w for w, on in ((LONG, len(codes) > FROM), (SHORT, len(codes) <= UP_TO)) if on]:
-                here = np.arange(max(1, len(codes) - width + 1) if len(codes) else 0)
-                parts.append([_grams(codes, width)[here], np.full(len(here), row), np.full(len(here), side), before[here]])
-        cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.array([], np.int64)] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64) if i != 2 else c.astype(np.int32)) for i, c in enumerate(cols)], names=["gram", "rec", "side", "prev"])
-
-
-class _Runs:
-    """Cross-split pairs (a, b) at the starts of shared spans, from sorted suffixes; records of crowded runs as (a, null)."""
-
-    def __init__(self, crowd: int):
-        self.crowd = crowd
-
-    def pairs(self, cols: list[np.ndarray], out: list, crowded: list) -> None:
-        key, rec, side, prev = cols
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(cut, len(key)))
-        train = np.add.reduceat((side == 0).astype(np.int64), cut)
-        for f, s, t in zip(cut.tolist(), size.tolist(), train.tolist()):
-            if t == 0 or t == s:
-                continue
-            run = slice(f, f + s)
-            if t * (s - t) > self.crowd:
-                crowded.append(rec[run])
-                continue
-            a, b = f + np.flatnonzero(side[run] == 0), f + np.flatnonzero(side[run] == 1)
-            for i in a.tolist():
-                starts = b[(prev[b] != prev[i]) | (prev[b] == 0)]
-                out.append((np.full(len(starts), rec[i]), rec[starts]))
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, flood = None, None
-        for batch in _with_end(batches):
-            rows = [kept] if kept is not None else []
-            if batch is not None and batch.num_rows:
-                rows.append([np.asarray(batch.column(i)) for i in range(4)])
-            kept = None
-            if not rows:
-                continue
-            cols = [np.concatenate(x) for x in zip(*rows)]
-            out: list = []
-            crowded: list = []
-            if flood is not None:
-                same = int(np.searchsorted(cols[0], flood, side="right")) if cols[0][0] == flood else 0
-                crowded.append(cols[1][:same])
-                cols = [c[same:] for c in cols]
-            if len(cols[0]):
-                flood = None
-                cut = len(cols[0]) if batch is None else int(np.searchsorted(cols[0], cols[0][-1]))
-                if cut:
-                    self.pairs([c[:cut] for c in cols], out, crowded)
-                if batch is not None and len(cols[0]) - cut > LONGEST:
-                    flood = cols[0][-1]
-                    crowded.append(cols[1][cut:])
-                elif batch is not None:
-                    kept = [c[cut:] for c in cols]
-            a = np.concatenate([x for x, _ in out]) if out else np.array([], np.int64)
-            b = np.concatenate([x for _, x in out]) if out else np.array([], np.int64)
-            found = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-            alone = np.unique(np.concatenate(crowded)) if crowded else np.array([], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([found[0], alone])), pa.concat_arrays([pa.array(found[1]), pa.nulls(len(alone), pa.int64())])], names=["a", "b"])
+# Tokens of a suffix carried for the sort; records of a split in a cell; pairs looked at in one step.
+DEPTH, BLOCK, STEP = 4, 8192, 1 << 18
+_SUFFIX = ", ".join(f"t{k} bigint" for k in range(DEPTH)) + ", rec bigint, side int, n int, at int, prev bigint, s1 bigint, s2 bigint"
 
 
 def _token_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, side, h1, h2, tokens): the distinct tokens as 64-bit digests in ascending order, and a 128-bit digest of the set."""
     for batch in batches:
-        sets = [np.array(sorted(xxhash.xxh3_64_intdigest(t) >> 1 for t in token_set(text)), np.int64) for text in batch.column(2).to_pylist()]
-        marks = [[np.bitwise_xor.reduce(np.left_shift(np.int64(1), x[(x >> 6) & 1 == k] & 63)) for x in sets] for k in (0, 1)]
+        sets = [np.array(sorted(xxhash.xxh3_64_intdigest(t) for t in token_set(text)), np.uint64) for text in batch.column(2).to_pylist()]
+        there = np.flatnonzero([len(x) > 0 for x in sets])
+        own = [sets[i] for i in there.tolist()]
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in own), np.int64).reshape(-1, 2)
+        at = pa.array(there)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary()), *(pa.array(m, pa.int64()) for m in marks)],
-            names=["rec", "side", "tokens", "packed", "s1", "s2"],
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))],
+            names=["id", "side", "h1", "h2", "tokens"],
         )
 
 
-def _meet_pass(threshold: float):
-    """Pairs (a, b) of rows of one sorted key and both sides whose sizes, places of the token and parities of tokens allow the similarity."""
+def first_places(n: int, threshold: float) -> int:
+    """In how many first places of n tokens the first shared span of a pair with the similarity can start."""
+    return n - int(np.ceil(threshold * n - 1e-9)) + 1
 
-    def meet(a: list[np.ndarray], b: list[np.ndarray], out: list) -> None:
-        rec_a, n_a, at_a, x_a, y_a = a
-        rec_b, n_b, at_b, x_b, y_b = b
-        step = max(1, MEET // len(rec_b))
-        for i in range(0, len(rec_a), step):
-            c = slice(i, i + step)
-            both = n_a[c, None] + n_b
-            least = threshold * both / (1 + threshold) - 1e-6
-            # The token is the first one shared at some key of every pair; parities differ in at most as many bits as tokens are in one set only.
-            ok = np.minimum((n_a - at_a)[c, None], n_b - at_b) >= least
-            ok &= np.bitwise_count((x_a[c, None] ^ x_b).view(np.uint64)).astype(np.int64) + np.bitwise_count((y_a[c, None] ^ y_b).view(np.uint64)) <= both - 2 * least
-            i_a, i_b = np.nonzero(ok)
-            out.append((rec_a[c][i_a], rec_b[i_b]))
+
+def _suffix_pass(threshold: float):
+    """The suffixes of the ordered texts (rec, side, tokens, shared) that a first span can start at; `shared` tells which tokens both splits have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        last = None
         for batch in batches:
-            out: list = []
-            key, salt, side, *cols = (np.asarray(batch.column(i)) for i in range(8))
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1])])) if len(key) else []
-            for f, e in zip(cuts, [*cuts[1:], len(key)]):
-                rows = [c[f:e] for c in cols]
-                if (key[f], salt[f]) != last:
-                    held, last = [], (key[f], salt[f])
-                if side[f] == 0:
-                    held.append(rows)
-                elif held:
-                    held = [[np.concatenate(x) for x in zip(*held)]] if len(held) > 1 else held
-                    meet(held[0], rows, out)
-            a = np.concatenate([x for x, _ in out]) if out else np.array([], np.int64)
-            b = np.concatenate([x for _, x in out]) if out else np.array([], np.int64)
-            found = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            parts: list[list[np.ndarray]] = []
+            for rec, side, text, shared in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                x, n = np.array(text, np.int64), len(text)
+                at = np.flatnonzero(np.array(shared, bool)[: first_places(n, threshold)])
+                if not len(at):
+                    continue
+                padded = np.concatenate([x, np.zeros(DEPTH, np.int64)])
+                bits = np.left_shift(np.int64(1), x & 63)
+                half = (x >> 6 & 1).astype(bool)
+                marks = [np.bitwise_xor.reduce(bits[half == k]) if (half == k).any() else np.int64(0) for k in (False, True)]
+                same = np.ones(len(at), np.int64)
+                parts.append([*(padded[at + k] for k in range(DEPTH)), same * rec, same * side, same * n, at, np.where(at > 0, x[at - 1], 0), same * marks[0], same * marks[1]])
+            cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.array([], np.int64)] * (DEPTH + 7)
+            kinds = [pa.int64()] * (DEPTH + 1) + [pa.int32()] * 3 + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[*(f"t{k}" for k in range(DEPTH)), "rec", "side", "n", "at", "prev", "s1", "s2"])
 
     return run
 
 
-def _rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a superset of the cross-split pairs of the sets (rec, side, tokens, s1, s2) with the similarity, by rare tokens.
+class Intervals:
+    """Pairs (a, b) of the two sides of sorted suffixes that may have the similarity, at the start of their first shared span."""
+
+    def __init__(self, threshold: float):
+        self.t = threshold
+
+    def meet(self, a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All of one interval: a and b hold its columns, DEPTH - 1 next tokens first, of the training and the evaluation side."""
+        next_b, (rec_b, n_b, at_b, prev_b, x_b, y_b) = b[: DEPTH - 1], b[DEPTH - 1 :]
+        step = max(1, STEP // len(rec_b))
+        for i in range(0, len(a[0]), step):
+            part = [c[i : i + step] for c in a]
+            next_a, (rec_a, n_a, at_a, prev_a, x_a, y_a) = part[: DEPTH - 1], part[DEPTH - 1 :]
+            both = n_a[:, None] + n_b
+            least = self.t * both / (1 + self.t) - 1e-6
+            rest_a, rest_b = (n_a - at_a)[:, None], n_b - at_b
+            most = np.minimum(rest_a, rest_b)
+            i_a, i_b = np.nonzero(most >= least)
+            if not len(i_a):
+                continue
+            # Only for the pairs left: the span starts here; with as many tokens left on both sides, texts that part cost one; parities differ
+            # in at most as many bits as tokens are in one set only.
+            keep = (prev_a[i_a] != prev_b[i_b]) | (at_a[i_a] == 0) | (at_b[i_b] == 0)
+            i_a, i_b = i_a[keep], i_b[keep]
+            parts = np.zeros(len(i_a), bool)
+            for x, y in zip(next_a, next_b):
+                parts |= x[i_a] != y[i_b]
+            need, own, other = least[i_a, i_b], rest_a[i_a, 0], rest_b[i_b]
+            keep = np.minimum(own, other) - (parts & (own == other)) >= need
+            differ = np.bitwise_count((x_a[i_a] ^ x_b[i_b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((y_a[i_a] ^ y_b[i_b]).view(np.uint64))
+            keep &= differ <= both[i_a, i_b] - 2 * need
+            yield rec_a[i_a[keep]], rec_b[i_b[keep]]
 
-    A token that many records of both sides meet on is spread: the evaluation records over salts, the training records to each.
-    """
-    tokens = sets.select("rec", F.explode("tokens").alias("token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(df, "token").groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
-    first = F.slice("tokens", 1, (F.size("tokens") - F.ceil(F.size("tokens") * threshold - 1e-9) + 1).cast("int"))
-    keys = written(ordered.select("rec", F.posexplode(first).alias("at", "key")))
-    sized = keys.join(sets.select("rec", "side", F.size("tokens").alias("n"), "s1", "s2"), "rec")
-    many = sized.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("_a"), F.count_if(F.col("side") == 1).alias("_b")).where("_a > 0 and _b > 0")
-    many = many.select("key", F.ceil(F.col("_a") * F.col("_b") / SPREAD).cast("int").alias("_k"))
-    salts = F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.array(F.pmod("rec", "_k").cast("int")))
-    rows = sized.join(many, "key").select("key", F.explode(salts).alias("salt"), "side", "rec", F.col("n").cast("bigint"), F.col("at").cast("bigint"), "s1", "s2")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(_meet_pass(threshold), "a bigint, b bigint").distinct()
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come as (t0, row, col, side, t1.., rec, n, at, prev, s1, s2), sorted by the first four; an open interval is kept from batch to batch."""
+        kept: list[np.ndarray] | None = None
+        for batch in _with_end(batches):
+            rows = [kept] if kept is not None else []
+            if batch is not None and batch.num_rows:
+                rows.append([np.asarray(c) for c in batch.columns])
+            if not rows:
+                continue
+            cols = [np.concatenate(x) for x in zip(*rows)]
+            new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
+            begins = np.flatnonzero(new)
+            kept = [c[begins[-1] :] for c in cols] if batch is not None else None
+            found = []
+            for f, e in zip(begins.tolist(), [*begins[1:].tolist(), *([len(new)] if batch is None else [])]):
+                middle = f + int(np.searchsorted(cols[3][f:e], 1))
+                if f < middle < e:
+                    found += self.meet([c[f:middle] for c in cols[4:]], [c[middle:e] for c in cols[4:]])
+            a = np.concatenate([x for x, _ in found]) if found else np.array([], np.int64)
+            b = np.concatenate([x for _, x in found]) if found else np.array([], np.int64)
+            pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def _with_end(batches):
@@ -198,60 +144,86 @@ def _with_end(batches):
     yield None
 
 
-def covered(a: list[str], b: list[str], least: int) -> tuple[float, float]:
-    """The share of each sequence's tokens that lie in spans of at least `least` tokens of the other."""
-    shares = []
-    there = [{tuple(x[i : i + least]) for i in range(len(x) - least + 1)} for x in (a, b)]
-    for own, other in ((a, there[1]), (b, there[0])):
-        reach, total = 0, 0
-        for i in range(len(own) - least + 1):
-            if tuple(own[i : i + least]) in other:
-                total += i + least - max(i, reach)
-                reach = i + least
-        shares.append(total / len(own) if own else 0.0)
-    return shares[0], shares[1]
+def shared_spans(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of the maximal spans two texts of distinct tokens share."""
+    place = {t: j for j, t in enumerate(b)}
+    spans: list[tuple[int, int, int]] = []
+    for i, t in enumerate(a):
+        j = place.get(t)
+        if j is None:
+            continue
+        if spans and spans[-1][0] + spans[-1][2] == i and spans[-1][1] + spans[-1][2] == j:
+            spans[-1] = (*spans[-1][:2], spans[-1][2] + 1)
+        else:
+            spans.append((i, j, 1))
+    return spans
 
 
-def _verify_pass(threshold: float):
-    """The pairs (a, b) of token sets, given as sorted 64-bit digests, that have the similarity."""
+def _cover_pass(threshold: float):
+    """Pairs (a, b) with their packed texts: the shares of both that shared spans cover, the similarity, and the longest span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                every = np.concatenate([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)])
+            rows: list[tuple] = []
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                u, v = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                every = np.concatenate([u, v])
                 every.sort()
                 both = int((every[1:] == every[:-1]).sum())
-                alike.append(both / (len(every) - both) if len(every) else 0.0)
-            keep = pa.array([v >= threshold - 1e-9 for v in alike], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(alike, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
+                if both >= threshold * (len(every) - both) - 1e-9:
+                    spans = shared_spans(u.tolist(), v.tolist())
+                    covered = sum(s[2] for s in spans)
+                    rows.append((k, covered / (len(u) + len(v) - covered), covered / len(u), covered / len(v), max(s[2] for s in spans)))
+            cols = list(zip(*rows)) or [[]] * 5
+            at = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.float64()) for c in cols[1:4]), pa.array(cols[4], pa.int32())], names=["a", "b", "similarity", "cover_a", "cover_b", "longest"]
+            )
 
     return run
 
 
-def _cover_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shares = [covered(token_sequence(x), token_sequence(y), SHORT) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-        own, other = ([s[k] for s in shares] for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.float64()), pa.array(other, pa.float64())], names=["a", "b", "similarity", "cover_a", "cover_b"])
+def _ordered_texts(classes: DataFrame) -> DataFrame:
+    """(rec, side, tokens, shared): the texts in the common order, by the product of a token's counts in the two splits, then by its digest."""
+    tokens = classes.select("rec", "side", F.explode("tokens").alias("token"))
+    count = [F.count_if(F.col("side") == k).cast("double") for k in (0, 1)]
+    cost = tokens.groupBy("token").agg((count[0] * count[1]).alias("cost"))
+    lined = tokens.join(cost, "token").groupBy("rec", "side").agg(F.array_sort(F.collect_list(F.struct("cost", "token"))).alias("x"))
+    return lined.select("rec", "side", F.col("x.token").alias("tokens"), F.transform("x", lambda e: e["cost"] > 0).alias("shared"))
 
 
-def cross_split_overlaps(
-    df: DataFrame, row_id: str, text: str, split: str, time: str, train: str = "train", against: tuple[str, ...] = ("dev", "holdout"), threshold: float = 0.7, crowd: int = 16384
-) -> DataFrame:
-    """(id_a, id_b, similarity, cover_a, cover_b): id_a of the training split, id_b of an evaluation split."""
+def _cells(suffixes: DataFrame) -> DataFrame:
+    """The suffixes of intervals of both splits, in each cell (row, col) of their interval's grid where they are compared."""
+    heads = suffixes.groupBy("t0").agg(*(F.ceil(F.count_if(F.col("side") == k) / F.lit(BLOCK)).cast("int").alias(c) for k, c in ((0, "_a"), (1, "_b")))).where("_a > 0 and _b > 0")
+    own = suffixes.join(heads, "t0").withColumn("_own", F.when(F.col("side") == 0, F.col("_a")).otherwise(F.col("_b"))).withColumn("_own", F.pmod(F.xxhash64("rec"), "_own").cast("int"))
+    across = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("_b")).otherwise(F.col("_a")) - 1)
+    spread = own.withColumn("_other", F.explode(across))
+    row, col = F.when(F.col("side") == 0, F.col("_own")).otherwise(F.col("_other")), F.when(F.col("side") == 0, F.col("_other")).otherwise(F.col("_own"))
+    return spread.select("t0", row.alias("row"), col.alias("col"), "side", *(f"t{k}" for k in range(1, DEPTH)), "rec", F.col("n").cast("bigint"), F.col("at").cast("bigint"), "prev", "s1", "s2")
+
+
+def cross_split_overlaps(df: DataFrame, row_id: str, text: str, split: str, time: str, train: str = "train", against: tuple[str, ...] = ("dev", "holdout"), threshold: float = 0.7) -> DataFrame:
+    """(id_a, id_b, similarity, cover_a, cover_b, longest): id_a of the training split, id_b of an evaluation split; `longest` shared span in tokens of the common order."""
     rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"), F.lower(F.trim(F.regexp_replace(F.col(split), "\\s+", " "))).alias("split"), F.col(time).alias("time"))
     rows = rows.where("id is not null").groupBy("id").agg(F.max(F.struct("time", "text", "split")).alias("r")).select("id", "r.text", "r.split")
     rows = rows.where(F.col("text").isNotNull() & F.col("split").isin(train, *against)).withColumn("side", F.when(F.col("split") == train, 0).otherwise(1))
-    rows = written(rows.withColumn("rec", F.xxhash64("side", "text")))
-    texts = rows.dropDuplicates(["rec"]).select("rec", "side", "text")
-    suffixes = texts.mapInArrow(_suffix_pass, "gram bigint, rec bigint, side int, prev bigint")
-    found = written(suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_Runs(crowd), "a bigint, b bigint").distinct())
-    sets = written(texts.mapInArrow(_token_pass, "rec bigint, side int, tokens array<bigint>, packed binary, s1 bigint, s2 bigint"))
-    pairs = found.where("b is not null").union(_rare_pairs(sets, threshold)).distinct()
-    a, b = sets.select(F.col("rec").alias("a"), F.col("packed").alias("x")), sets.select(F.col("rec").alias("b"), F.col("packed").alias("y"))
-    near = written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify_pass(threshold), "a bigint, b bigint, similarity double"))
-    a, b = texts.select(F.col("rec").alias("a"), F.col("text").alias("x")), texts.select(F.col("rec").alias("b"), F.col("text").alias("y"))
-    near = near.join(a, "a").join(b, "b").select("a", "b", "similarity", "x", "y").mapInArrow(_cover_pass, "a bigint, b bigint, similarity double, cover_a double, cover_b double")
-    ids_a, ids_b = rows.select(F.col("rec").alias("a"), F.col("id").alias("id_a")), rows.select(F.col("rec").alias("b"), F.col("id").alias("id_b"))
-    return near.join(ids_a, "a").join(ids_b, "b").select("id_a", "id_b", "similarity", "cover_a", "cover_b")
+    kind = rows.schema["id"].dataType.simpleString()
+    known = written(rows.select("id", "side", "text").mapInArrow(_token_pass, f"id {kind}, side int, h1 bigint, h2 bigint, tokens array<bigint>"))
+    classes = written(known.dropDuplicates(["side", "h1", "h2"]).drop("id").withColumn("rec", F.monotonically_increasing_id()))
+    texts = written(_ordered_texts(classes))
+    suffixes = written(texts.mapInArrow(_suffix_pass(threshold), _SUFFIX))
+    order = ["t0", "row", "col", "side", *(f"t{k}" for k in range(1, DEPTH))]
+    pairs = _cells(suffixes).repartition("t0", "row", "col").sortWithinPartitions(*order).mapInArrow(Intervals(threshold), "a bigint, b bigint").distinct()
+    packed = texts.mapInArrow(_pack_pass, "rec bigint, packed binary")
+    a, b = packed.select(F.col("rec").alias("a"), F.col("packed").alias("x")), packed.select(F.col("rec").alias("b"), F.col("packed").alias("y"))
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_cover_pass(threshold), "a bigint, b bigint, similarity double, cover_a double, cover_b double, longest int")
+    members = known.drop("tokens").join(classes.drop("tokens"), ["side", "h1", "h2"])
+    ids_a, ids_b = members.select(F.col("rec").alias("a"), F.col("id").alias("id_a")), members.select(F.col("rec").alias("b"), F.col("id").alias("id_b"))
+    return written(near).join(ids_a, "a").join(ids_b, "b").select("id_a", "id_b", "similarity", "cover_a", "cover_b", "longest")
+
+
+def _pack_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column(2)
+        flat, ends = np.asarray(column.flatten()), np.cumsum(np.asarray(column.value_lengths()))[:-1]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.split(flat, ends)] if batch.num_rows else [], pa.binary())], names=["rec", "packed"])

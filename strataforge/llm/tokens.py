@@ -20,17 +20,6 @@ def token_set(text: str) -> set[str]:
     return found
 
 
-def token_sequence(text: str) -> list[str]:
-    """The tokens in order, Han characters one by one."""
-    out: list[str] = []
-    for word in TOKEN.findall(canonical(text).casefold()):
-        if word[0] < "㐀":
-            out.append(word)
-        else:
-            out.extend(word)
-    return out
-
-
 def similarity(a: set, b: set) -> float:
     """Shared tokens divided by all tokens; 0 if there are none."""
     both = len(a & b)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from strataforge.llm import leakage, mixing, near_duplicates, overlaps, splits
-from strataforge.llm.tokens import similarity, token_sequence, token_set
+from strataforge.llm.tokens import similarity, token_set
 
 WORDS = [f"w{chr(97 + i % 26)}{i}" for i in range(400)]
 
@@ -138,8 +138,6 @@ def test_cross_split_overlaps_against_brute_force(spark):
     own = {i: token_set(t) for i, t, _, _, _ in rows if t is not None}
     wanted = {(a, b) for a in own for b in own if a and b and side[a] == "train" and side[b] in ("dev", "holdout") and similarity(own[a], own[b]) >= 0.7}
     assert len(found) == len(set(found)) and set(found) == wanted
-    crowded = {tuple(r)[:2] for r in overlaps.cross_split_overlaps(df, "case_id", "summary", "split", "at", crowd=0).collect()}
-    assert crowded == wanted
     assert overlaps.cross_split_overlaps(df.limit(0), "case_id", "summary", "split", "at").count() == 0
 
 
@@ -168,30 +166,56 @@ def test_cross_split_pairs_without_a_long_shared_span(spark):
     assert found == wanted and {(f"a{k}", f"b{k}") for k in range(len(pairs))} <= wanted
 
 
-def test_long_runs_are_not_held(monkeypatch):
+def test_every_pair_at_the_threshold_is_found(spark):
+    """Random and even edits of texts of 34 to 200 tokens at similarities of 0.70 to 0.75: recall is whole."""
+    rng, rows, wanted = random.Random(31), [], set()
+    for n in (34, 60, 100, 200):
+        for least in (0.70, 0.72, 0.75):
+            edits = max(e for e in range(n) if (n - e) / (n + e) >= least)
+            for even in (True, False):
+                for _ in range(4):
+                    base = [f"u{rng.randrange(10**7)}x" for _ in range(n - 10)] + WORDS[:10]
+                    rng.shuffle(base)
+                    at = {i * n // edits for i in range(edits)} if even else set(rng.sample(range(n), edits))
+                    other = [f"v{rng.randrange(10**7)}y" if i in at else w for i, w in enumerate(base)]
+                    k = len(rows)
+                    rows += [(f"a{k}", " ".join(base), "train", 1), (f"b{k}", " ".join(other), "holdout", 1)]
+                    wanted.add((f"a{k}", f"b{k}"))
+    df = spark.createDataFrame(rows, "case_id string, summary string, split string, at int")
+    found = {(r["id_a"], r["id_b"]): r for r in overlaps.cross_split_overlaps(df, "case_id", "summary", "split", "at").collect()}
+    assert set(found) == wanted
+    assert all(0.7 - 1e-9 <= r["similarity"] < 0.8 and r["cover_a"] == pytest.approx(r["cover_b"]) and r["longest"] >= 1 for r in found.values())
+
+
+def test_hot_intervals_are_laid_out_as_cells(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "BLOCK", 7)
+    rng = random.Random(6)
+    rows = [(f"{'ab'[i % 2]}{i}", " ".join(WORDS[:12] + rng.sample(WORDS[12:18], 4)), ("train", "dev")[i % 2], 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "case_id string, summary string, split string, at int")
+    found = [tuple(r)[:2] for r in overlaps.cross_split_overlaps(df, "case_id", "summary", "split", "at").collect()]
+    own = {i: token_set(t) for i, t, _, _ in rows}
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a in own for b in own if a[0] == "a" and b[0] == "b" and similarity(own[a], own[b]) >= 0.7}
+
+
+def test_open_intervals_are_kept_over_batches():
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
-    n = 600
-    cols = [np.sort(rng.integers(0, 8, n)), np.arange(n), rng.integers(0, 2, n).astype(np.int32), np.zeros(n, np.int64)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "rec", "side", "prev"])
-
-    def pairs(size, crowd):
-        return {p for out in overlaps._Runs(crowd)(iter([batch.slice(i, size) for i in range(0, n, size)])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
-
-    every = {(int(a), int(b)) for a in range(n) for b in range(n) if cols[2][a] == 0 and cols[2][b] == 1 and cols[0][a] == cols[0][b]}
-    assert pairs(n, 10**9) == pairs(50, 10**9) == every
-    assert pairs(n, 1) == pairs(37, 1) == {(i, None) for i in range(n)}
-    monkeypatch.setattr(overlaps, "LONGEST", 30)
-    got = pairs(20, 10**9)
-    alone = {a for a, b in got if b is None}
-    assert alone and all((a, b) in got or a in alone and b in alone for a, b in every)
-
-
-def test_coverage():
-    a, b = "a b c d e f g".split(), "x a b c d e y".split()
-    assert overlaps.covered(a, b, 5) == (5 / 7, 5 / 7)
-    assert token_sequence("ab 人口 12") == ["ab", "人", "口", "12"]
+    n = 300
+    key, side = np.sort(rng.integers(0, 8, n)), rng.integers(0, 2, n)
+    order = np.lexsort((side, key))
+    key, side, zero = key[order], side[order], np.zeros(n, np.int64)
+    cols = [key, zero, zero, side, zero, zero, zero, np.arange(n), zero + 10, zero, zero, zero, zero]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[str(k) for k in range(len(cols))])
+    every = {(a, b) for a in range(n) for b in range(n) if side[a] == 0 and side[b] == 1 and key[a] == key[b]}
+    for size in (n, 37, 1):
+        out = overlaps.Intervals(0.7)(iter([batch.slice(i, size) for i in range(0, n, size)]))
+        assert {p for x in out for p in zip(x.column(0).to_pylist(), x.column(1).to_pylist())} == every
+
+
+def test_shared_spans():
+    assert overlaps.shared_spans([1, 2, 3, 4, 9, 5], [7, 1, 2, 8, 3, 4, 5]) == [(0, 1, 2), (2, 4, 2), (5, 6, 1)]
+    assert overlaps.shared_spans([1], [2]) == [] and overlaps.first_places(10, 0.7) == 4
 
 
 def test_leaked_items_against_brute_force(spark):
