@@ -5,11 +5,13 @@ digits for languages written without blanks) stands in a document. A window is a
 17 of sixteen characters); a document is partitioned by size into all its overlapping windows of the same number of shingles, so
 that where an item's window is contained, the document's window is the same set and has the same MinHash, whatever the
 document's length: containment 1 of equal sizes, found with certainty. A key combines the MinHashes of four hash functions, so that windows
-which merely share some shingles (set phrases) seldom meet.
+which merely share some shingles (set phrases) seldom meet. An item leaks from one window on, so for an item of w windows the least
+containment asked for is 1 / w: all its windows are searched, not a sample of them.
 
-The items' keys are marked in a bitmap of fixed size (`BITS`, 4 MB), which is what every executor gets; a document goes on only
-with keys marked there, which loses none. Items and documents then meet on the keys in a shuffled join, and every candidate is then verified by
-the exact shingles: a run of 15 words or 32 characters of the passage in the document's text.
+The items' keys are marked in a bitmap of `PER_KEY` bits for each key counted, `MOST_BITS` (32 MB) at most, which is what every executor
+gets; a document goes on only with windows whose keys are marked there, which loses none. Beyond that bound more unmarked windows
+pass by chance and the join sorts them out: slower, never fewer. Items and documents meet on the keys in a shuffled join that
+carries the windows' own words, never whole texts, and a pair counts only where the words are equal too: the exact shingles of one window.
 
 Words are runs of letters and digits of the case-folded canonical form. Defined cases: null ids, texts and passages are left out;
 a passage shorter than one window leaks nowhere; copies of documents count each; a null language is one written with blanks.
@@ -31,7 +33,8 @@ from .canonical import canonical
 
 _WORD = re.compile(r"[^\W_]+")
 WORDS, WORD_SHINGLE, CHARS, CHAR_SHINGLE = 15, 5, 32, 16
-BITS, ROWS, BLOCK = 1 << 25, 4, 200
+ROWS, BLOCK = 4, 200
+PER_KEY, PROBES, LEAST_BITS, MOST_BITS, PAGE = 32, 4, 1 << 16, 1 << 28, 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +59,7 @@ def _runs(codes: np.ndarray, width: int, join) -> np.ndarray:
 
 
 def _signatures(codes: np.ndarray, sizes: np.ndarray, shingle: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, owner) of all windows of `window` codes of texts laid end to end, as sets of shingles of `shingle` codes: ROWS MinHashes in one key.
+    """(keys, begin) of all windows of `window` codes of texts laid end to end, as sets of shingles of `shingle` codes: ROWS MinHashes in one key.
 
     Windows that reach over the end of a text are left out.
     """
@@ -72,8 +75,8 @@ def _signatures(codes: np.ndarray, sizes: np.ndarray, shingle: int, window: int)
             key ^= key >> np.uint64(29)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)[: len(key)]
-    whole = np.arange(len(key)) + window <= ends[owner]
-    return key[whole], owner[whole]
+    whole = np.flatnonzero(np.arange(len(key)) + window <= ends[owner])
+    return key[whole], whole
 
 
 @lru_cache(maxsize=1)
@@ -82,66 +85,115 @@ def _letters_and_digits() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
-def _both_kinds(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, owner) of the word windows and of the character windows of the texts; the kind is the key's last bit.
+class Windows:
+    """All word windows and character windows of some texts: `keys` (the kind is the last bit), `owner` the text of each, and its own words on demand.
 
     A word's code is the sum of its characters' codes, each mixed with its place in the word.
     """
-    plain = [canonical(t).casefold() for t in texts]
-    flat = np.frombuffer("\0".join([*plain, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in plain])
-    there = _letters_and_digits()[flat]
-    begins = there & np.concatenate([[True], ~there[:-1]])
-    chars, owner = flat[there].astype(np.uint64), text_of[there]
-    starts = np.flatnonzero(begins[there])
-    place = np.arange(len(chars)) - np.repeat(starts, np.diff(np.append(starts, len(chars))))
-    with np.errstate(over="ignore"):
-        mixed = (chars + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) | np.uint64(1))
-        mixed = (mixed ^ mixed >> np.uint64(31)) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-        words = np.add.reduceat(mixed, starts) if len(starts) else chars
-    a, x = _signatures(words, np.bincount(owner[starts], minlength=len(texts)), WORD_SHINGLE, WORDS)
-    b, y = _signatures(chars, np.bincount(owner, minlength=len(texts)), CHAR_SHINGLE, CHARS)
-    return np.concatenate([a & ~np.uint64(1), b | np.uint64(1)]), np.concatenate([x, y])
+
+    def __init__(self, texts: list[str]):
+        plain = [canonical(t).casefold() for t in texts]
+        flat = np.frombuffer("\0".join([*plain, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in plain])
+        there = _letters_and_digits()[flat]
+        begins = there & np.concatenate([[True], ~there[:-1]])
+        self.chars, owner = flat[there], text_of[there]
+        chars = self.chars.astype(np.uint64)
+        self.starts = np.append(np.flatnonzero(begins[there]), len(chars))
+        starts = self.starts[:-1]
+        place = np.arange(len(chars)) - np.repeat(starts, np.diff(self.starts))
+        with np.errstate(over="ignore"):
+            mixed = (chars + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) | np.uint64(1))
+            mixed = (mixed ^ mixed >> np.uint64(31)) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+            words = np.add.reduceat(mixed, starts) if len(starts) else chars
+        a, x = _signatures(words, np.bincount(owner[starts], minlength=len(texts)), WORD_SHINGLE, WORDS)
+        b, y = _signatures(chars, np.bincount(owner, minlength=len(texts)), CHAR_SHINGLE, CHARS)
+        self.keys, self.begin = np.concatenate([a & ~np.uint64(1), b | np.uint64(1)]), np.concatenate([x, y])
+        self.owner = np.concatenate([owner[starts][x] if len(x) else x, owner[y] if len(y) else y])
+
+    def _text(self, start: int, end: int) -> str:
+        return self.chars[start:end].tobytes().decode("utf-32-le", "surrogatepass")
+
+    def words(self, k: int) -> str:
+        """The words of window k, a blank between them, or its characters."""
+        at = int(self.begin[k])
+        if self.keys[k] & np.uint64(1):
+            return self._text(at, at + CHARS)
+        return " ".join(self._text(s, e) for s, e in zip(self.starts[at : at + WORDS].tolist(), self.starts[at + 1 : at + WORDS + 1].tolist()))
+
+    def rows(self, wanted: np.ndarray, ids: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(id, key, words) of the wanted windows, each once for a text."""
+        own = {(int(self.owner[k]), int(self.keys[k]), self.words(k)): None for k in wanted.tolist()}
+        return (
+            ids.take(pa.array([o for o, _, _ in own], pa.int64())), pa.array(np.array([k for _, k, _ in own], np.uint64).view(np.int64)),
+            pa.array([w.encode("utf-8", "surrogatepass") for _, _, w in own], pa.binary()),
+        )
 
 
 def _item_pass(unspaced: tuple[str, ...]):
-    """Rows (minimum, item_id) of the windows of each passage's language."""
+    """Rows (item_id, key, words) of the windows of each passage's language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                chars = [lang in unspaced for lang in batch.column(2).to_pylist()]
-                keys, owner = _both_kinds(batch.column(1).to_pylist())
-                own = np.array(chars, bool)[owner] == (keys & np.uint64(1)).astype(bool)
-                keys, owner = keys[own], owner[own]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(owner))], names=["minimum", "item_id"])
+                by_chars = np.array([lang in unspaced for lang in batch.column(2).to_pylist()], bool)
+                found = Windows(batch.column(1).to_pylist())
+                wanted = np.flatnonzero(by_chars[found.owner] == (found.keys & np.uint64(1)).astype(bool))
+                yield pa.RecordBatch.from_arrays(list(found.rows(wanted, batch.column(0))), names=["item_id", "key", "words"])
 
     return run
 
 
-def _document_pass(bitmap):
-    """Rows (doc_id, text, minima) of the documents with keys that an item may have, those keys only."""
+def _place(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """Where each key is marked at one of the PROBES; bits is a power of two."""
+    with np.errstate(over="ignore"):
+        return (keys * np.uint64(0xD1B54A32D192ED03 * (2 * probe + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(65 - bits.bit_length())
+
+
+def _mark_pass(bits: int):
+    """Pages (page, bits) of the bitmap with this partition's keys marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for probe in range(PROBES):
+                order = np.sort(_place(np.asarray(batch.column(0)).view(np.uint64), probe, bits))
+                page, first = np.unique(order >> np.uint64(15), return_index=True)
+                for p, own in zip(page.tolist(), np.split(order, first[1:])):
+                    marks = pages.setdefault(p, np.zeros(PAGE // 8, np.uint8))
+                    np.bitwise_or.at(marks, (own % np.uint64(PAGE) >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (own & np.uint64(7)).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array([m.tobytes() for m in pages.values()], pa.binary())], names=["page", "bits"])
+
+    return run
+
 
-        def marked(place: np.ndarray) -> np.ndarray:
-            return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+def key_filter(keys: DataFrame) -> bytes:
+    """A bitmap with all values of `key` marked; its size follows their number, up to MOST_BITS."""
+    count = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (PER_KEY * count - 1).bit_length())) if count else LEAST_BITS
+    bitmap = np.zeros(bits // 8, np.uint8)
+    # Rows are pages of 4 kB: together a bitmap for each of the few partitions.
+    for page, marks in keys.coalesce(4).mapInArrow(_mark_pass(bits), "page bigint, bits binary").toLocalIterator():
+        bitmap[page * PAGE // 8 : (page + 1) * PAGE // 8] |= np.frombuffer(marks, np.uint8)
+    return bitmap.tobytes()
 
+
+def _document_pass(bitmap):
+    """Rows (doc_id, key, words) of the windows whose keys an item may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(bitmap.value, np.uint8)
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                keys, owner = _both_kinds(batch.column(1).to_pylist())
-                for shift in (1, 33):
-                    there = marked((keys >> np.uint64(shift)) % np.uint64(BITS))
-                    keys, owner = keys[there], owner[there]
-                order = np.argsort(owner, kind="stable")
-                kept, first = np.unique(owner[order], return_index=True)
-                minima = [np.unique(part).view(np.int64) for part in np.split(keys[order], first[1:])] if len(kept) else []
-                rows = pa.array(kept, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(minima, pa.list_(pa.int64()))], names=["doc_id", "text", "minima"])
+                found = Windows(batch.column(1).to_pylist())
+                wanted = np.arange(len(found.keys))
+                for probe in range(PROBES):
+                    place = _place(found.keys[wanted], probe, len(marks) * 8)
+                    wanted = wanted[(marks[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                yield pa.RecordBatch.from_arrays(list(found.rows(wanted, batch.column(0))), names=["doc_id", "key", "words"])
 
     return run
 
@@ -158,40 +210,18 @@ def shared_run(document: list[str], passage: list[str], by_chars: bool) -> tuple
     return hits > 0, hits / total if total > 0 else 0.0
 
 
-def _verify_pass(unspaced: tuple[str, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words = None, []
-        for batch in batches:
-            rows: list[list] = [[], [], []]
-            for doc, item, text, passage, lang in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if text is not last:
-                    last, words = text, words_of(text)
-                there, share = shared_run(words, words_of(passage), lang in unspaced)
-                if there:
-                    for c, v in zip(rows, (doc, item, share)):
-                        c.append(v)
-            kinds = [batch.column(0).type, batch.column(1).type, pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "item_id", "share"])
-
-    return run
-
-
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", language: str = "language", unspaced: tuple[str, ...] = ("zh", "ja")
 ) -> DataFrame:
-    """(doc_id, item_id, share): every document with every item it holds a window of, and the share of the item's windows."""
+    """(doc_id, item_id, share): every document with every item it holds a window of, and the share of the item's different windows."""
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     held = items.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage"), F.lower(F.trim(F.split(F.col(language), "[-_]")[0])).alias("lang"))
     held = held.where("item_id is not null and passage is not null")
     d, i = docs.schema["doc_id"].dataType.simpleString(), held.schema["item_id"].dataType.simpleString()
-    of_items = written(held.select("item_id", "passage", "lang").mapInArrow(_item_pass(unspaced), f"minimum bigint, item_id {i}").distinct())
-    places = of_items.select(F.explode(F.array(*(F.expr(f"pmod(shiftrightunsigned(minimum, {k}), {BITS}L)") for k in (1, 33)))).alias("bit"))
-    # At most BITS / 64 rows of one word, whatever the number of items.
-    marked = places.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
-    bitmap = np.zeros(BITS // 64, np.int64)
-    bitmap[[r["word"] for r in marked]] = [r["bits"] for r in marked]
-    suspects = written(docs.mapInArrow(_document_pass(spark.sparkContext.broadcast(bitmap.astype("<i8").tobytes())), f"doc_id {d}, text string, minima array<bigint>"))
-    pairs = suspects.select("doc_id", F.explode("minima").alias("minimum")).join(of_items, "minimum").select("doc_id", "item_id").distinct()
-    rows = pairs.join(suspects.select("doc_id", "text"), "doc_id").join(held, "item_id").select("doc_id", "item_id", "text", "passage", "lang")
-    return rows.mapInArrow(_verify_pass(unspaced), f"doc_id {d}, item_id {i}, share double")
+    windows = written(held.select("item_id", "passage", "lang").mapInArrow(_item_pass(unspaced), f"item_id {i}, key bigint, words binary").distinct())
+    bitmap = spark.sparkContext.broadcast(key_filter(windows.select("key").distinct()))
+    suspects = docs.mapInArrow(_document_pass(bitmap), f"doc_id {d}, key bigint, words binary")
+    hits = suspects.join(windows, ["key", "words"]).groupBy("doc_id", "item_id").agg(F.countDistinct("words").alias("hits"))
+    whole = windows.groupBy("item_id").agg(F.countDistinct("words").alias("whole"))
+    return hits.join(whole, "item_id").select("doc_id", "item_id", (F.col("hits") / F.col("whole")).alias("share"))
