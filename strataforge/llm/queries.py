@@ -26,6 +26,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1])
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row that looks like a differently stored one, with its class, spelling and their sizes."""
+    parts = [
+        _canonical.look_alike_classes(table(spark, d, name), "pos", column).select(
+            F.lit(name).alias("table_name"), F.col("id").alias("pos"), F.col("class_id").alias("class_pos"), F.col("spelling_id").alias("spelling_pos"), "class_rows", "spellings"
+        )
+        for name, column in (("chunks", "content"), ("cases", "query"))
+    ]
+    return parts[0].union(parts[1])
+
+
 def p1_chunk_forms(spark: SparkSession, d: str) -> DataFrame:
     return _canonical.with_canonical(table(spark, d, "chunks").select("pos", "content"), "content").drop("content")
 
@@ -119,7 +130,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_chunk_forms, p1_case_forms, p3_found, p3_overlaps, p3_report, p4_found, p5_found, p5_splits, p5_shares,
+        p1_found, p1_classes, p1_chunk_forms, p1_case_forms, p3_found, p3_overlaps, p3_report, p4_found, p5_found, p5_splits, p5_shares,
         p6_found, p6_pieces, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_sentences,
     )
 }

@@ -116,12 +116,13 @@ def test_units(text, wanted):
 def test_chunked_scan_equals_one_run():
     rng = random.Random(3)
     streams = [[rng.randrange(1, S.SYMBOLS) for _ in range(rng.choice((0, 5, 40, 700)))] for _ in range(12)]
+    step, ends = S.tables(max(S.nesting(streams)))
     for chunk in (1, 7, 64):
         for got, stream in zip(S.run_transducer(streams, chunk), streams):
             state, wanted = 0, []
             for s in stream:
-                wanted.append(bool(S.ENDS[s, state]))
-                state = int(S.STEP[s, state])
+                wanted.append(bool(ends[s, state]))
+                state = int(step[s, state])
             assert got.tolist() == wanted
 
 
@@ -143,3 +144,94 @@ def test_characters_that_show_nothing_change_no_form():
     for letter in "กກཀ":
         assert form(letter + "\u200d" + letter) == letter * 2
     assert form("क\u200dष") != form("कष")
+
+
+def test_nesting_has_no_bound_and_lines_are_read_once():
+    import random
+    import time
+
+    from strataforge.llm import sentences
+
+    def cut(text):
+        return [text[a:b] for a, b in sentences.units([text])[0]]
+
+    assert cut("Alpha (beta (gamma (delta (eps one. Fox) golf two. Hotel) india three. Juliet) kilo four. Lima) mike. Next one.") == [
+        "Alpha (beta (gamma (delta (eps one. Fox) golf two. Hotel) india three. Juliet) kilo four. Lima) mike.", "Next one.",
+    ]
+    assert cut("«Beta «gamma one.» delta two. Echo». Next.") == ["«Beta «gamma one.» delta two. Echo».", "Next."]
+    assert cut("«Alpha «beta» gamma. Delta») end. Next.") == ["«Alpha «beta» gamma. Delta») end.", "Next."]
+    assert cut("Open «alpha «beta» gamma. Delta.") == ["Open «alpha «beta» gamma.", "Delta."]
+    deep = "(" * 5000 + "a. B" + ")" * 5000 + " end. Next."
+    assert cut(deep) == [deep[:-6], "Next."]
+    rng = random.Random(3)
+    streams = [[rng.choice(range(1, sentences.SYMBOLS)) for _ in range(rng.randrange(700))] for _ in range(60)]
+    for stream, got in zip(streams, sentences.run_transducer(streams, 16)):
+        assert (sentences.run_counter(stream) == got).all()
+    for text in ("ก ข" * 330_000, "am 3. Mai " * 50_000):
+        began = time.time()
+        sentences.units([text])
+        assert time.time() - began < 8
+
+
+def test_the_trie_decides_where_the_table_can_not(tmp_path):
+    import base64
+
+    from strataforge.llm import canonical as C
+
+    ranks = tmp_path / "words.tiktoken"
+    # Two letters drawn like Y: the table takes the first, the vocabulary knows the word.
+    ranks.write_bytes(b"\n".join(base64.b64encode(w.encode()) + b" %d" % i for i, w in enumerate([" ҮНДЭС", "paypal", "cop", "сор"])))
+    empty = tmp_path / "none.tiktoken"
+    empty.write_bytes(b"")
+    for stored in ("ҮНДЭС", "УНДЭС", "Ү\u200bНДЭС", "УНДЭC", "YНДЭС"):
+        assert C.canonical(stored, str(ranks)) == "ҮНДЭС"
+        assert C.canonical(stored, str(empty)) == "УНДЭС"
+    assert C.canonical("рауpal", str(ranks)) == C.canonical("ｐay\u200dpal", str(ranks)) == "paypal"
+    assert C.canonical("сор", str(ranks)) == "cop"
+    trie = C.Trie(["paypal", "ҮНДЭС"])
+    assert trie.nearest("раураl") == "paypal" and trie.nearest("paypol") is None and trie.nearest("paypol", 1) == trie.nearest("paypa", 1) == trie.nearest("paaypal", 1) == "paypal"
+    with pytest.raises(FileNotFoundError):
+        C.canonical("рауpal", str(tmp_path / "missing"))
+
+
+def test_random_looks_come_to_one_form():
+    import random
+    import unicodedata
+
+    from strataforge.llm import canonical as C
+
+    rng = random.Random(11)
+    alike = {k: v[1:] for k, v in C.DRAWN_LIKE.items()}
+    plain = ["network", "Проект", "данные", "résumé", "ценa", "Ήλιος", "COPY", "x", "où", "Straße", "fix", "ΑΒΓ", "мир", "Über"]
+    for _ in range(400):
+        words = rng.choices(plain, k=rng.randrange(1, 6))
+        text = " ".join(words)
+        other = []
+        for c in text:
+            if c in alike and rng.random() < 0.4:
+                c = rng.choice(alike[c])
+            elif c.isascii() and c.isalnum() and rng.random() < 0.3:
+                c = chr(ord(c) + 0xFEE0)
+            elif c == " " and rng.random() < 0.5:
+                c = rng.choice("\u00a0\u2003\u3000")
+            elif rng.random() < 0.3:
+                c = unicodedata.normalize("NFD", c)
+            other.append(c + rng.choice(["", "", "\u200b", "\u2060", "\u00ad"]))
+        assert C.canonical("".join(other)) == C.canonical(text)
+        again = C.canonical(text)
+        assert C.canonical(again) == again
+    forms = {C.canonical(w) for w in plain}
+    assert len(forms) == len(set(map(C.look, plain)))
+    every = [chr(c) for c in range(0x20, 0x3100) if c != 13 and unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    bad = [c for c in every if C.canonical("a" + c + "b") != C.canonical("a" + c + "b\u200b")]
+    assert not bad, bad[:20]
+
+
+def test_classes_of_look_alikes(spark):
+    from strataforge.llm import canonical as C
+
+    rows = [(1, "paypal"), (2, "рaypal"), (3, "paypal"), (4, "pаypаl"), (5, "other"), (6, None), (None, "рaypal"), (7, "other")]
+    df = spark.createDataFrame(rows, "pos bigint, content string")
+    got = sorted(tuple(r) for r in C.look_alike_classes(df, "pos", "content").collect())
+    assert got == [(1, 1, 1, 4, 3), (1, 2, 2, 4, 3), (1, 3, 1, 4, 3), (1, 4, 4, 4, 3)]
+    assert C.look_alike_classes(df.limit(0), "pos", "content").count() == 0
