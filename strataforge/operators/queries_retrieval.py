@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import hashed_vector
 from ..functions.text import sql_tokens, tokens
 from ..plans.tables import spread, table, written
+from . import index as I
 from . import retrieval as R
 
 
@@ -40,12 +41,12 @@ def bm25_fields_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_source_diverse(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    return _out(R.source_diverse(R.top_hits(R.bm25(chunks, _queries(spark, d)), chunks, None), 2, 5))
+    return _out(R.source_diverse(R.scored_in(R.bm25(chunks, _queries(spark, d)), chunks), 2, 5))
 
 
 def bm25_doc_cap(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    return _out(R.capped_per_document(R.top_hits(R.bm25(chunks, _queries(spark, d)), chunks, None), 1, 5))
+    return _out(R.capped_per_document(R.scored_in(R.bm25(chunks, _queries(spark, d)), chunks), 1, 5))
 
 
 def scoped_stats_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -142,13 +143,13 @@ def vector_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    found = R.postings(spread(table(spark, d, "chunks").select("pos", "content"), "pos"), F.col("content"))
+    found = I.postings(R.corpus_index(_chunks(spark, d)), "body")
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
-    stats = R.corpus_stats(spread(table(spark, d, "chunks").select("pos", "content"), "pos"), F.col("content"))
-    return stats.select("n", F.round("avg_length", 6).alias("avg_length"))
+    stats = I.averages(R.corpus_index(_chunks(spark, d)), ["body"])
+    return stats.select("n", F.round("avg_body", 6).alias("avg_length"))
 
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:

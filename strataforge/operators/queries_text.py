@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import content_hash, exact_tokens, sql_squeeze
+from ..functions.text import content_hash, sql_squeeze, tokens
 from ..plans.tables import table
 from ..sources.files import heading_chunks, image_references
 
@@ -59,7 +59,7 @@ def extractive_drafts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_token_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks").select("language", exact_tokens("content").alias("t"))
+    rows = table(spark, d, "chunks").select("language", tokens(F.col("content")).alias("t"))
     return rows.groupBy("language").agg(F.count("*").alias("chunks"), F.sum(F.size(F.coalesce("t", F.array().cast("array<string>")))).alias("tokens"))
 
 

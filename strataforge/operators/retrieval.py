@@ -17,31 +17,26 @@ from pyspark.sql import functions as F
 from ..functions.rules import hashed_matrix
 from ..functions.text import tokens
 from ..plans.tables import written
+from . import index
 
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"title": 3.0, "heading_path": 4.0, "body": 1.0}
 
 
+def corpus_index(chunks: DataFrame) -> DataFrame:
+    """The index of title, heading path and body, or of the body alone where the corpus has no more; the same one for all rankers."""
+    fields = {"body": F.col("content")}
+    if {"document_title", "heading_path"} <= set(chunks.columns):
+        fields = {"title": F.col("document_title"), "heading_path": F.array_join("heading_path", " "), **fields}
+    return index.built(chunks, fields)
+
+
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """(query_id, term, qtf): the distinct terms of each query."""
     rows = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokens(F.col(text))).alias("term"))
     return rows.where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def postings(chunks: DataFrame, text: Column, terms: DataFrame | None = None) -> DataFrame:
-    """(pos, term, tf, length) of the wanted terms, or of all; length counts all tokens of the chunk."""
-    # explode_outer: of explode the optimizer infers a filter on the tokens, which would be computed once more below the scan's shuffle.
-    rows = chunks.select("pos", tokens(text).alias("t")).select("pos", F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term is not null")
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def corpus_stats(chunks: DataFrame, text: Column) -> DataFrame:
-    """One row: (n, avg_length)."""
-    return chunks.select(F.size(tokens(text)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-
-
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -52,28 +47,22 @@ def saturation(tf: Column, length: Column, average: Column) -> Column:
 
 def bm25(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "query", weighted_terms: bool = False, least_terms: int = 1) -> DataFrame:
     """(query_id, pos, score) of all chunks (pos, content) with a term of the query."""
-    terms = query_terms(queries, query_id, text)
-    found = postings(chunks, F.col("content"), terms)
+    terms, own = query_terms(queries, query_id, text), corpus_index(chunks)
+    found = index.postings(own, "body", terms)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(chunks, F.col("content"))
-    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(stats))  # stats: one row
+    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(index.averages(own, ["body"])))  # one row
     weight = F.col("qtf") if weighted_terms else F.lit(1)
-    part = weight * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("avg_length"))
+    part = weight * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("avg_body"))
     out = scored.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
     return out.where(F.col("matched") >= least_terms).select("query_id", "pos", "score")
 
 
 def bm25_fields(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, pos, score) over title, heading path and body with shared document frequencies."""
-    terms = query_terms(queries, query_id, text)
-    columns = {"title": F.col("document_title"), "heading_path": F.array_join("heading_path", " "), "body": F.col("content")}
-    found = None
-    stats = chunks.select(*(F.size(tokens(c)).alias(f"length_{k}") for k, c in columns.items())).agg(*(F.avg(f"length_{k}").alias(f"avg_{k}") for k in columns), F.count("*").alias("n"))
-    for name, column in columns.items():
-        part = postings(chunks, column, terms).withColumn("field", F.lit(name))
-        found = part if found is None else found.union(part)
+    terms, own = query_terms(queries, query_id, text), corpus_index(chunks)
+    found = index.postings(own, None, terms)
     df = found.groupBy("term").agg(F.countDistinct("pos").alias("df"))
-    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(stats))  # one row
+    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(index.averages(own, list(FIELD_WEIGHTS))))  # one row
     weight, average = F.lit(None), F.lit(None)
     for name, w in FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == name, F.lit(w)).otherwise(weight)
@@ -85,7 +74,7 @@ def bm25_fields(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id
 def token_overlap(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, pos, score): how many distinct query terms a chunk has."""
     terms = query_terms(queries, query_id, text)
-    found = postings(chunks, F.col("content"), terms)
+    found = index.postings(corpus_index(chunks), "body", terms)
     return terms.join(found, "term").groupBy("query_id", "pos").agg(F.count("*").cast("double").alias("score"))
 
 
@@ -102,19 +91,39 @@ def top_hits(scores: DataFrame, chunks: DataFrame, k: int, prefer_language: str
     return ranked(rows.where("score > 0"), order, k)
 
 
+def best_of_documents(hits: DataFrame, prefix: int, k: int) -> DataFrame:
+    """Of scored hits (query_id, document_id, pos, score) the rows a re-ordering to k rows can need: the best prefix + k, and the best k of the documents' best.
+
+    Both are cut in every partition before a shuffle, so no task sees all hits of a query.
+    """
+    order = [F.desc("score"), F.asc("pos")]
+    top = ranked(hits, order, prefix + k).drop("rank")
+    first = hits.groupBy("query_id", "document_id").agg(F.max_by("pos", F.struct("score", -F.col("pos"))).alias("pos"), F.max("score").alias("score"))
+    first = ranked(first, order, prefix + k).drop("rank")
+    return top.unionByName(first.select(*top.columns)).distinct()
+
+
 def source_diverse(hits: DataFrame, prefix: int, k: int) -> DataFrame:
-    """Ranked hits re-ordered: the first `prefix`, then the best positive one of each document not seen yet, then the rest."""
+    """Hits re-ordered: the first `prefix`, then the best positive one of each document not seen yet, then the rest; the first k."""
+    order = [F.desc("score"), F.asc("pos")]
+    rows = ranked(best_of_documents(hits.select("query_id", "document_id", "pos", "score"), prefix, k), order)
     w = Window.partitionBy("query_id", "document_id").orderBy("rank")
-    flagged = hits.withColumn("in_prefix", F.col("rank") <= prefix).withColumn("nth", F.row_number().over(w))
+    flagged = rows.withColumn("in_prefix", F.col("rank") <= prefix).withColumn("nth", F.row_number().over(w))
     seen = F.max("in_prefix").over(Window.partitionBy("query_id", "document_id"))
     group = F.when(F.col("in_prefix"), 0).when(~seen & (F.col("nth") == 1) & (F.col("score") > 0), 1).otherwise(2)
-    return ranked(flagged.withColumn("grp", group).drop("rank"), [F.asc("grp"), F.desc("score"), F.asc("pos")], k).drop("grp", "in_prefix", "nth")
+    return ranked(flagged.withColumn("grp", group).drop("rank"), [F.asc("grp"), *order], k).drop("grp", "in_prefix", "nth")
 
 
 def capped_per_document(hits: DataFrame, cap: int, k: int) -> DataFrame:
-    """At most `cap` chunks of a document, ranked anew."""
-    kept = hits.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy("rank"))).where(F.col("nth") <= cap)
-    return ranked(kept.drop("rank", "nth"), [F.desc("score"), F.asc("pos")], k)
+    """At most `cap` chunks of a document, the first k; the cap is taken in every partition before the shuffle."""
+    w = Window.partitionBy("query_id", "document_id").orderBy(F.desc("score"), F.asc("pos"))
+    kept = hits.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap)
+    return ranked(kept.drop("nth"), [F.desc("score"), F.asc("pos")], k)
+
+
+def scored_in(scores: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Positive scores with the document of each chunk."""
+    return scores.where("score > 0").join(chunks.select("pos", "document_id"), "pos")
 
 
 def fused(rankings: DataFrame, k: int, rrf_k: int = 60, weight: Column | None = None) -> DataFrame:

@@ -40,20 +40,51 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strataforge-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
 
+def file_stamps(df: DataFrame) -> tuple:
+    """(path, size, time of change) of every file a plan reads."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all intermediate tables written so far in this application; results not yet read can't be read any more. Returns how many."""
+    from ..operators import index
+
+    index.forget()
+    own = [path for session, path in _WRITTEN if session.sparkContext.applicationId == spark.sparkContext.applicationId]
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for name in own:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] not in own]
+    return len(own)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write `df` once as a parquet table in the shared folder and read it back, so that nothing above is run again.
 
-    The table is removed when the driver's JVM ends.
+    The table is removed by `release`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/strataforge-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
