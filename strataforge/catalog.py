@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import queries_evidence, queries_lifecycle, queries_metrics, queries_retrieval, queries_runs, queries_snapshots, queries_text
+from .operators import queries_evidence, queries_lifecycle, queries_metrics, queries_retrieval, queries_runs, queries_scopes, queries_snapshots, queries_text
 
-_MODULES = (queries_retrieval, queries_lifecycle, queries_evidence, queries_metrics, queries_runs, queries_snapshots, queries_text)
+_MODULES = (queries_retrieval, queries_lifecycle, queries_evidence, queries_metrics, queries_runs, queries_snapshots, queries_text, queries_scopes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

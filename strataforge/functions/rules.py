@@ -17,6 +17,14 @@ BEARER = r"(?i)\bbearer\s+[A-Za-z0-9._~+\-/]+=*"
 KEY = r"\bsk-[A-Za-z0-9_-]{8,}\b"
 
 
+CLASS_CLAUSE = "[;；。\\n]+"
+
+
+def url_identity(url: Column) -> Column:
+    """An HTTP address as the identity of a source; null if it is none."""
+    return F.when(url.rlike("^(?i)https?://[^/?#]+"), url)
+
+
 def document_title(text: Column, fallback: Column) -> Column:
     """The first top-level heading, else the fallback."""
     found = F.regexp_extract(text, "(?m)^#\\s+(.+?)\\s*$", 1)

@@ -56,14 +56,15 @@ def select_evidence(rows: list[dict], most: int) -> list[dict]:
 
 
 def merge_images(hits: list[dict], images: list[dict], most: int) -> list[dict]:
-    """Images take the place of the last hit of their document, else of the last hit of a document with several, else a free place."""
-    out = list(hits)
+    """Each image not there yet takes the place of the last row of its document, else of the last row of a document with several, else a free place; a document is never lost for an image."""
+    out = list(hits[:most])
     for image in images:
-        documents = [h["document"] for h in out]
-        same = [i for i, h in enumerate(out) if h["document"] == image["document"] and not h.get("image")]
-        double = [i for i, h in enumerate(out) if documents.count(h["document"]) > 1 and not h.get("image")]
-        if same or double:
-            out[(same or double)[-1]] = image
+        if any(row["pos"] == image["pos"] for row in out):
+            continue
+        documents = [row["document"] for row in out]
+        places = [i for i, name in enumerate(documents) if name == image["document"]] or [i for i, name in enumerate(documents) if documents.count(name) > 1]
+        if places:
+            out[places[-1]] = image
         elif len(out) < most:
             out.append(image)
     return out
@@ -74,9 +75,9 @@ def expand_context(hits: list[dict], around: dict, budget: int) -> list[dict]:
     out: list[dict] = []
     seen: set = set()
     spent = 0
-    for n, hit in enumerate(hits):
+    for hit in hits:
         if hit["pos"] not in seen:
-            if n and spent + hit["cost"] > budget:
+            if out and spent + hit["cost"] > budget:
                 break
             out.append(hit)
             seen.add(hit["pos"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checked import path_overlap
 from ..functions.rules import stable_id, token_cost
 from ..functions.text import content_hash
 from ..plans.tables import table
@@ -43,17 +44,28 @@ def request_evidence(spark: SparkSession, d: str) -> DataFrame:
     split = cases.select("pos", F.posexplode(R.facets(F.col("summary"))).alias("facet", "query")).withColumn("query_id", F.col("pos") * 8 + F.col("facet"))
     chunks = _chunks(spark, d)
     hits = R.top_hits(R.bm25(chunks, split.select("query_id", "query")), chunks, 5)
-    rows = hits.select(F.expr("query_id div 8").alias("request"), F.expr("query_id % 8").alias("facet"), "rank", "pos", F.col("document_id").alias("document"), F.floor("score").alias("overlap"))
+    places = table(spark, d, "chunks").select("pos", "document_key", "heading")
+    rows = hits.select("query_id", "rank", "pos").join(places, "pos").join(split.select("query_id", "query"), "query_id")
+    rows = rows.select(
+        F.expr("query_id div 8").alias("request"), F.expr("query_id % 8").alias("facet"), "rank", "pos", F.coalesce("document_key", F.col("pos").cast("string")).alias("document"),
+        path_overlap(F.col("query"), F.col("document_key"), F.col("heading")).alias("overlap"),
+    )
     return E.by_request(rows, "request", ["facet", "rank"], lambda r: E.select_evidence(r, 8), "request bigint, facet bigint, pos bigint, document string, place int")
 
 
 def expanded_context(spark: SparkSession, d: str) -> DataFrame:
-    """The five best hits of each query with neighbours of their section, within 800 tokens."""
+    """The five best hits of each query, each with its section's first chunk and neighbours, within 800 tokens."""
     chunks = _chunks(spark, d)
     hits = R.top_hits(R.bm25(chunks, _queries(spark, d)), chunks, 5).select("query_id", "rank", "pos")
     costs = table(spark, d, "chunks").select("pos", token_cost(F.coalesce("content", F.lit(""))).alias("cost"))
-    near = L.neighbours(table(spark, d, "chunks").select("document_id", "heading", "pos"), ["document_id", "heading"], "pos", 1)
-    around = near.join(costs.withColumnRenamed("pos", "to"), "to").groupBy(F.col("from").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("distance", "to", "cost"))).alias("around"))
+    rows = table(spark, d, "chunks").select("document_id", "heading", "pos")
+    # The section's first chunk, its anchor, comes before the neighbours.
+    first = rows.groupBy("document_id", "heading").agg(F.min("pos").alias("to"))
+    anchors = rows.join(first, rows["document_id"].eqNullSafe(first["document_id"]) & rows["heading"].eqNullSafe(first["heading"])).select(F.col("pos").alias("from"), "to", F.lit(0).alias("distance"))
+    near = L.neighbours(rows, ["document_id", "heading"], "pos", 1).select("from", "to", "distance").union(anchors)
+    own = near.join(hits.select(F.col("pos").alias("from")).distinct(), "from", "left_semi").join(costs.withColumnRenamed("pos", "to"), "to")
+    order = F.struct(F.abs("distance").alias("far"), "distance", "to", "cost")
+    around = own.groupBy(F.col("from").alias("pos")).agg(F.array_sort(F.collect_list(order)).alias("around"))
     rows = hits.join(costs, "pos").join(around, "pos", "left").select("query_id", "rank", "pos", "cost", F.to_json("around").alias("around"))
 
     def choose(group: list[dict]) -> list[dict]:

@@ -78,6 +78,24 @@ def token_overlap(chunks: DataFrame, queries: DataFrame, query_id: str = "query_
     return terms.join(found, "term").groupBy("query_id", "pos").agg(F.count("*").cast("double").alias("score"))
 
 
+def figure_hits(rows: DataFrame, queries: DataFrame, k: int, most: int, query_id: str = "query_id", text: str = "query") -> DataFrame:
+    """(query_id, rank, pos, score): the best min(k, most) figure rows (pos, chunk_id, document_key, heading, content).
+
+    Statistics are those of the given rows, repeated query terms count as often, at least two different ones must stand in the content itself; ties go by chunk_id.
+    """
+    whole = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("heading", "document_key", "content")))
+    own, terms = index.built(rows, {"whole": whole, "content": F.col("content")}), query_terms(queries, query_id, text)
+    found = index.postings(own, "whole", terms)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    stats = index.averages(own, ["whole"]).select("n", F.greatest("avg_whole", F.lit(1.0)).alias("average"))
+    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(stats))  # one row
+    part = F.col("qtf") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("average"))
+    scores = scored.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
+    two = terms.join(index.postings(own, "content", terms), "term").groupBy("query_id", "pos").agg(F.count("*").alias("own")).where("own >= 2").drop("own")
+    hits = scores.where("score > 0").join(two, ["query_id", "pos"]).join(rows.select("pos", "chunk_id"), "pos")
+    return ranked(hits, [F.desc("score"), F.asc("chunk_id"), F.asc("pos")], min(k, most)).select("query_id", "rank", "pos", "score")
+
+
 def ranked(scores: DataFrame, order: list[Column], limit: int | None = None, by: str = "query_id") -> DataFrame:
     """Adds `rank` from 1 within each query; with a limit, ranks beyond it are cut in every partition before the shuffle."""
     out = scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
