@@ -6,6 +6,7 @@ streaming twin keeps the same state in the state store (`strataforge.streaming.r
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -60,7 +61,8 @@ def paired_spans(df: DataFrame, span: str, time: str, started: Column) -> DataFr
 class ProgressFold:
     """Finds runs that get nowhere: repeated errors, resources, operations, re-entered stages, or no growth since the last progress.
 
-    Only the window since the last progress is kept, reduced to what the rules need, so the state of a run is bounded.
+    Of the window since the last progress only what the rules need is kept. Every different successful output is remembered for as long
+    as the run lasts, as a digest of 8 bytes, since one seen before is no progress: that part of the state grows with the run's outputs.
     """
 
     COUNTS = ("artifact_count", "evidence_count", "completed_unit_count")
@@ -68,6 +70,7 @@ class ProgressFold:
     def __init__(self, threshold: int = 3, state: dict | None = None):
         self.threshold = threshold
         self.state = state or {"most": {}, "outputs": [], "latch": None, "n": 0, "streaks": {}, "entries": {}, "stage": None}
+        self.outputs = set(self.state["outputs"])
 
     def _progress(self, s: dict) -> bool:
         grew = False
@@ -78,9 +81,12 @@ class ProgressFold:
             before = self.state["most"].get(name, -1)
             grew |= now > before and now > 0
             self.state["most"][name] = max(before, int(now))
-        if s.get("successful") and s.get("output_hash") and s["output_hash"] not in self.state["outputs"]:
-            self.state["outputs"].append(s["output_hash"])
-            grew = True
+        if s.get("successful") and s.get("output_hash"):
+            digest = int.from_bytes(hashlib.blake2b(str(s["output_hash"]).encode(), digest_size=8).digest(), "big")
+            if digest not in self.outputs:
+                self.outputs.add(digest)
+                self.state["outputs"].append(digest)
+                grew = True
         return grew
 
     def observe(self, s: dict) -> dict:
@@ -91,7 +97,7 @@ class ProgressFold:
             return quiet | {"progress": True}
         st["n"] += 1
         found = []
-        operation = "|".join(str(s.get(k)) for k in ("operation", "tool_name", "normalized_arguments_hash")) if s.get("operation") else None
+        operation = "|".join(str(s.get(k)) for k in ("stage", "operation", "tool_name", "normalized_arguments_hash")) if s.get("operation") else None
         for reason, key in (("SAME_ERROR_REPEAT", s.get("error_code")), ("SAME_RESOURCE_REPEAT", s.get("target_resource_hash")), ("SAME_OPERATION_REPEAT", operation)):
             last, count = st["streaks"].get(reason, (None, 0))
             count = 0 if key is None else count + 1 if key == last else 1
@@ -116,19 +122,30 @@ class ProgressFold:
 
 
 class BudgetFold:
-    """Reserve, commit and release of several cost dimensions at once: a reservation is taken wholly or refused on the first dimension, in name order, it would exceed."""
+    """Reserve, commit and release of several cost dimensions at once: a reservation is taken wholly or refused.
 
-    def __init__(self, limits: dict[str, int | None], state: dict | None = None):
-        self.limits, self.state = limits, state or {"committed": {}, "reserved": {}, "open": {}}
+    It is refused on the duration if that is used up, else on the first dimension, in name order, that can only be observed but has a limit,
+    else on the first one, in name order, it would exceed.
+    """
+
+    def __init__(self, limits: dict[str, int | None], state: dict | None = None, observed: frozenset[str] = frozenset()):
+        self.limits, self.state, self.observed = limits, state or {"committed": {}, "reserved": {}, "open": {}}, observed
+
+    def preview(self, costs: dict[str, int], elapsed_ms: int | None = None) -> str | None:
+        """The dimension a reservation would be refused on, or None."""
+        st, most = self.state, self.limits.get("duration_ms")
+        if most is not None and elapsed_ms is not None and elapsed_ms >= most:
+            return "duration_ms"
+        limited = [name for name in sorted(costs) if self.limits.get(name) is not None]
+        return next((name for name in limited if name in self.observed), None) or next(
+            (name for name in limited if st["committed"].get(name, 0) + st["reserved"].get(name, 0) + costs[name] > self.limits[name]), None
+        )
 
-    def apply(self, seq: int, action: str, reservation: str, costs: dict[str, int]) -> dict:
+    def apply(self, seq: int, action: str, reservation: str, costs: dict[str, int], elapsed_ms: int | None = None) -> dict:
         st, refused, accepted = self.state, None, True
         if action == "reserve":
-            for name in sorted(costs):
-                limit = self.limits.get(name)
-                if limit is not None and st["committed"].get(name, 0) + st["reserved"].get(name, 0) + costs[name] > limit:
-                    refused, accepted = name, False
-                    break
+            refused = self.preview(costs, elapsed_ms)
+            accepted = refused is None
             if accepted and reservation in st["open"]:
                 accepted = False
             if accepted:
@@ -186,3 +203,13 @@ def replay_budget(df: DataFrame, limits: dict[str, int | None]) -> DataFrame:
 
     rows = df.select("run_id", "seq", "action", "reservation_id", "costs")
     return rows.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInPandas(run, BUDGET_SCHEMA)
+
+
+def progress_signals(events: DataFrame) -> DataFrame:
+    """The signals of trace events (run_id, sequence, stage, operation, tool_name, error_code, status, input_summary, output_summary): hashes only
+    where the summaries (maps of texts, the output's first) hold one, counts only where they are whole numbers."""
+    both = F.map_concat(F.coalesce(F.map_filter("input_summary", lambda k, v: ~F.coalesce(F.map_contains_key("output_summary", k), F.lit(False))), F.create_map().cast("map<string,string>")), F.coalesce("output_summary", F.create_map().cast("map<string,string>")))
+    rows = events.withColumn("_all", both)
+    hashes = [F.when(F.lower(F.col("_all")[n]).rlike("^[0-9a-f]{64}$"), F.lower(F.col("_all")[n])).alias(n) for n in ("normalized_arguments_hash", "target_resource_hash", "output_hash")]
+    counts = [F.when(F.col("_all")[n].rlike("^[0-9]+$"), F.col("_all")[n]).try_cast("bigint").alias(n) for n in ProgressFold.COUNTS]
+    return rows.select("run_id", "sequence", "stage", "operation", "tool_name", "error_code", (F.col("status") == "SUCCESS").alias("successful"), *hashes, *counts)

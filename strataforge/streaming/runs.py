@@ -41,9 +41,12 @@ def budget_stream(events: DataFrame, limits: dict[str, int | None]) -> DataFrame
     return events.groupBy("run_id").applyInPandasWithState(step, BUDGET_SCHEMA, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_trace(events: DataFrame, path: str, checkpoint: str):
-    """Write a stream of trace events once each by event id, as JSON lines; returns the query, ended when the input is read."""
-    once = events.dropDuplicates(["event_id"])
+def append_trace(events: DataFrame, path: str, checkpoint: str, time: str | None = None, late: str = "1 day"):
+    """Write a stream of trace events once each by event id, as JSON lines; returns the query, ended when the input is read.
+
+    With `time` an id is remembered until the watermark is `late` behind it, so the state is bounded; without, for ever.
+    """
+    once = events.withWatermark(time, late).dropDuplicatesWithinWatermark(["event_id"]) if time else events.dropDuplicates(["event_id"])
     return once.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
