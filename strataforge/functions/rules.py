@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,6 +127,15 @@ def hashed_vector(x: pd.Series) -> pd.Series:
     return x.map(hashed_vector_of, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(FloatType()))
+def hashed_vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """As hashed_vector, for columns of many texts: whole batches at once, grams seen before are not hashed again."""
+    known: dict[int, int] = {}
+    for x in batches:
+        parts = [hashed_matrix([t or "" for t in x.iloc[i : i + 500]], known) for i in range(0, len(x), 500)]
+        yield pd.Series([v if t is not None else None for t, v in zip(x, (row for part in parts for row in part))], index=x.index, dtype=object)
+
+
 def extractive_draft(df: DataFrame, group: str, order: str, text: Column, most: int = 3) -> DataFrame:
     """(group, draft): the first distinct texts of each group in order, joined; at most `most` are ever held for a group."""
     from .text import squeeze

@@ -13,7 +13,7 @@ from . import evidence as E
 from . import lifecycle as L
 from . import metrics as M
 from . import retrieval as R
-from .queries_lifecycle import _HASH, _PIECES, _SRC, _pieces, _sources
+from .queries_lifecycle import ITEM_ROWS, _HASH, _PIECES, _SRC, _pieces, _sources
 from .queries_metrics import _SUMMARY, _TRUTH, _facts, _hits, _hits_sql, _per_query, _truth
 from .queries_retrieval import _FACETS, _FIELDS_SQL, _bm25_sql, _chunks, _queries
 
@@ -144,15 +144,7 @@ def case_set_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def carried_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of snapshot 2, taken from snapshot 1 where missing and the content is equal."""
-    rows = table(spark, d, "engineering_snapshots").select("project_id", "snapshot_no", F.lower(F.trim("external_identifier")).alias("identifier"), "title", content_hash(F.col("content")).alias("hash"), "delivered_at", "item_id")
-    rows = L.latest(rows.where("snapshot_no in (1, 2) and identifier is not null"), ["project_id", "snapshot_no", "identifier"], [F.desc("delivered_at"), F.desc("hash"), F.desc("item_id")])
-    old = rows.where("snapshot_no = 1").select("project_id", "identifier", "hash", F.col("title").alias("old_title"))
-    return rows.where("snapshot_no = 2").join(old, ["project_id", "identifier", "hash"], "left").select("project_id", "identifier", F.coalesce("title", "old_title").alias("title"), (F.col("title").isNull() & F.col("old_title").isNotNull()).alias("carried"))
-
-
-def carried_title_steps(spark: SparkSession, d: str) -> DataFrame:
-    """carried_titles of every snapshot that has an earlier one, from the one before it."""
+    """Titles of every snapshot that has an earlier one, from the one before it."""
     rows = table(spark, d, "engineering_snapshots").select("project_id", "snapshot_no", F.lower(F.trim("external_identifier")).alias("identifier"), "title", content_hash(F.col("content")).alias("hash"), "delivered_at", "item_id")
     rows = L.latest(rows.where("identifier is not null"), ["project_id", "snapshot_no", "identifier"], [F.desc("delivered_at"), F.desc("hash"), F.desc("item_id")])
     keys = ["project_id", "from", "to", "identifier"]
@@ -182,7 +174,7 @@ def engineering_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identifier_positions(spark: SparkSession, d: str) -> DataFrame:
-    return E.identifier_spans(table(spark, d, "eval_passages"), "item_id", "passage", _IDENTIFIER).withColumnRenamed("id", "item_id")
+    return E.identifier_spans(table(spark, d, "chunks"), "pos", "content", _IDENTIFIER).withColumnRenamed("id", "pos")
 
 
 def embedded_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         citation_membership, required_first, language_coverage, request_evidence, expanded_context, facet_filter, allowed_paths, exclusion_reasons, version_ingest_report, version_status, policy_gate, case_set_checks,
-        carried_titles, carried_title_steps, location_join, adjacent_chunks, engineering_items, identifier_positions, embedded_passages,
+        carried_titles, location_join, adjacent_chunks, engineering_items, identifier_positions, embedded_passages,
     )
 }
 
@@ -229,9 +221,8 @@ SELECT category, {', '.join(f'round(y.{k} - x.{k}, 6) AS d_{k}' for k in _DELTAS
 UNION ALL SELECT 'query in train and evaluation', min(case_id) FROM cases WHERE query IS NOT NULL GROUP BY lower(trim(query)) HAVING bool_or(lower(trim(split)) = 'train') AND bool_or(lower(trim(split)) <> 'train')
 UNION ALL SELECT 'answerable without sources', case_id FROM cases WHERE answerable AND (required_sources IS NULL OR len(required_sources) = 0)
 UNION ALL SELECT 'parent is no case', case_id FROM cases WHERE derived_from IS NOT NULL AND derived_from NOT IN (SELECT case_id FROM cases)) GROUP BY 1""",
-    "carried_titles": f"""WITH r AS (SELECT project_id, snapshot_no, lower(trim(external_identifier)) AS identifier, title, {_HASH} AS hash FROM engineering_snapshots WHERE snapshot_no IN (1, 2) AND external_identifier IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY project_id, snapshot_no, lower(trim(external_identifier)) ORDER BY delivered_at DESC, {_HASH} DESC NULLS LAST, item_id DESC) = 1)
-SELECT n.project_id, n.identifier, coalesce(n.title, o.title) AS title, n.title IS NULL AND o.title IS NOT NULL AS carried FROM (SELECT * FROM r WHERE snapshot_no = 2) n LEFT JOIN (SELECT * FROM r WHERE snapshot_no = 1) o USING (project_id, identifier, hash)""",
+    "carried_titles": f"""WITH {ITEM_ROWS} SELECT n.project_id, n.f AS "from", n.t AS "to", n.identifier, coalesce(n.title, o.title) AS title, n.title IS NULL AND o.title IS NOT NULL AS carried
+FROM n LEFT JOIN o ON n.project_id = o.project_id AND n.f = o.f AND n.t = o.t AND n.identifier = o.identifier AND n.hash = o.hash""",
     "location_join": """WITH l AS (SELECT project_id, version_id, document_id, section_id, count(*) AS items FROM (SELECT DISTINCT project_id, version_id, document_id, section_id, lower(trim(external_identifier)) AS i FROM engineering_snapshots) GROUP BY 1, 2, 3, 4)
 SELECT project_id, sum(items)::BIGINT AS items, sum(items * (items - 1))::BIGINT AS links FROM l WHERE items > 1 GROUP BY 1""",
     "adjacent_chunks": "WITH n AS (SELECT DISTINCT document_id, try_cast(regexp_extract(chunk_id, ':([0-9]+)$', 1) AS BIGINT) AS number FROM chunks), l AS (SELECT *, lag(number) OVER (PARTITION BY document_id ORDER BY number) AS b FROM n) SELECT document_id, count(*) AS numbers, count(*) FILTER (number - b = 1) AS adjacent FROM l GROUP BY 1",

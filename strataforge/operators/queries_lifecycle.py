@@ -28,25 +28,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_diff(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pieces(spark, d).select("document_key", F.split("chunk_id", ":")[1].alias("lang"), _number().alias("number"), "version", content_hash(F.col("content")).alias("hash"))
-    keys = ["document_key", "lang", "number"]
-    both = rows.where("version in ('v1.5.0', 'v1.6.2')").groupBy(*keys, "version").agg(F.max("hash").alias("hash"))
-    return L.keyed_diff(both.where("version = 'v1.5.0'"), both.where("version = 'v1.6.2'"), keys, "hash").select(*keys, "change_type")
-
-
-def diff_summary(spark: SparkSession, d: str) -> DataFrame:
-    return L.diff_summary(section_diff(spark, d), ["document_key"])
-
-
-def item_diff(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "engineering_snapshots").select("project_id", "snapshot_no", F.lower(F.trim("external_identifier")).alias("identifier"), content_hash(F.col("content")).alias("hash"), "delivered_at", "item_id")
-    rows = L.latest(rows.where("snapshot_no in (1, 2) and identifier is not null"), ["project_id", "snapshot_no", "identifier"], [F.desc("delivered_at"), F.desc("hash"), F.desc("item_id")])
-    keys = ["project_id", "identifier"]
-    return L.keyed_diff(rows.where("snapshot_no = 1"), rows.where("snapshot_no = 2"), keys, "hash").select(*keys, "change_type")
-
-
-def section_diff_steps(spark: SparkSession, d: str) -> DataFrame:
-    """section_diff between every two consecutive existing versions of a document, in the order of their numbers."""
+    """Sections of a document between every two consecutive existing versions of a document, in the order of their numbers."""
     rows = _pieces(spark, d).select("document_key", F.split("chunk_id", ":")[1].alias("lang"), _number().alias("number"), "version", content_hash(F.col("content")).alias("hash"))
     rows = rows.groupBy("document_key", "lang", "number", "version").agg(F.max("hash").alias("hash"))
     numbers = F.transform(F.regexp_extract_all("version", F.lit("([0-9]+)")), lambda x: x.cast("bigint"))
@@ -54,12 +36,12 @@ def section_diff_steps(spark: SparkSession, d: str) -> DataFrame:
     return L.keyed_diff(*L.stepped(rows, ["document_key"], "version", numbers), keys, "hash").select(*keys, "change_type")
 
 
-def diff_summary_steps(spark: SparkSession, d: str) -> DataFrame:
-    return L.diff_summary(section_diff_steps(spark, d), ["document_key", "from", "to"])
+def diff_summary(spark: SparkSession, d: str) -> DataFrame:
+    return L.diff_summary(section_diff(spark, d), ["document_key", "from", "to"])
 
 
-def item_diff_steps(spark: SparkSession, d: str) -> DataFrame:
-    """item_diff between every two consecutive existing snapshots of a project."""
+def item_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Items between every two consecutive existing snapshots of a project."""
     rows = table(spark, d, "engineering_snapshots").select("project_id", "snapshot_no", F.lower(F.trim("external_identifier")).alias("identifier"), content_hash(F.col("content")).alias("hash"), "delivered_at", "item_id")
     rows = L.latest(rows.where("identifier is not null"), ["project_id", "snapshot_no", "identifier"], [F.desc("delivered_at"), F.desc("hash"), F.desc("item_id")])
     keys = ["project_id", "from", "to", "identifier"]
@@ -224,14 +206,6 @@ def required_sources_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def append_only_extension(spark: SparkSession, d: str) -> DataFrame:
-    """Per project: rows of snapshot 1 not present, equal in all columns, in snapshot 2."""
-    cols = ["project_id", "external_identifier", "content"]
-    rows = table(spark, d, "engineering_snapshots")
-    lost = rows.where("snapshot_no = 1").select(*cols).exceptAll(rows.where("snapshot_no = 2").select(*cols))
-    return lost.groupBy("project_id").agg(F.count("*").alias("lost_rows"))
-
-
-def append_only_steps(spark: SparkSession, d: str) -> DataFrame:
     """Per project and two consecutive existing snapshots: rows of the first not present in the second, equal in all columns but those of the delivery (ids of item and version, time)."""
     rows = table(spark, d, "engineering_snapshots").withColumn("metadata", F.array_sort(F.map_entries("metadata"))).drop("item_id", "version_id", "delivered_at")
     old, new = L.stepped(rows, ["project_id"], "snapshot_no")
@@ -281,7 +255,7 @@ def alternating_split(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        section_diff, diff_summary, item_diff, section_diff_steps, diff_summary_steps, item_diff_steps, append_only_steps, recorded_change_summary, chunk_enrichment, chunks_without_source, duplicate_chunk_ids, catalog_rows, version_catalog_checks, lineage_supersedes,
+        section_diff, diff_summary, item_diff, recorded_change_summary, chunk_enrichment, chunks_without_source, duplicate_chunk_ids, catalog_rows, version_catalog_checks, lineage_supersedes,
         document_catalogue, source_breakdown, source_breakdown_sets, license_disposition, relation_adjacency, relation_summary, impact_discovery, consistency_notes, literal_differences,
         exact_identifier_match, freshness_join, affected_cases, section_neighbours, section_anchor, incremental_embedding_reuse, union_of_rows, required_sources_found, append_only_extension,
         evidence_dedup, family_components, family_split_leaks, hash_ordered_holdout, alternating_split,
@@ -292,21 +266,31 @@ _PIECES = "pc AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY c
 _SRC = "sr AS (SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY version, language, document_key ORDER BY source_updated_at DESC, source_id DESC) = 1)"
 _HASH = f"sha256({sql_squeeze('content')})"
 _FAMILY = "translate(lower(trim(family_id)), '- ', '__')"
+_KIND = "CASE WHEN o.f IS NULL THEN 'ADDED' WHEN n.f IS NULL THEN 'REMOVED' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'UNCHANGED' ELSE 'MODIFIED' END"
+
+
+def sql_steps(path: str, step: str, order: str) -> str:
+    """The rows r as old side o and new side n of every two consecutive steps (f, t) of a path."""
+    return f"""s AS (SELECT {path}, {step} AS f, lead({step}) OVER (PARTITION BY {path} ORDER BY {order}) AS t FROM (SELECT DISTINCT {path}, {step} FROM r WHERE {step} IS NOT NULL) QUALIFY t IS NOT NULL),
+o AS (SELECT r.*, f, t FROM r JOIN s ON r.{path} = s.{path} AND r.{step} = s.f), n AS (SELECT r.*, f, t FROM r JOIN s ON r.{path} = s.{path} AND r.{step} = s.t)"""
+
+
 _SECTION_DIFF = f"""WITH {_PIECES},
-r AS (SELECT document_key, split_part(chunk_id, ':', 2) AS lang, try_cast(regexp_extract(chunk_id, ':([0-9]+)$', 1) AS BIGINT) AS number, version, max({_HASH}) AS hash FROM pc WHERE version IN ('v1.5.0', 'v1.6.2') GROUP BY 1, 2, 3, 4),
-df AS (SELECT coalesce(o.document_key, n.document_key) AS document_key, coalesce(o.lang, n.lang) AS lang, coalesce(o.number, n.number) AS number,
-  CASE WHEN o.document_key IS NULL THEN 'ADDED' WHEN n.document_key IS NULL THEN 'REMOVED' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'UNCHANGED' ELSE 'MODIFIED' END AS change_type
-  FROM (SELECT * FROM r WHERE version = 'v1.5.0') o FULL JOIN (SELECT * FROM r WHERE version = 'v1.6.2') n ON o.document_key = n.document_key AND o.lang = n.lang AND o.number = n.number)"""
+r AS (SELECT document_key, split_part(chunk_id, ':', 2) AS lang, try_cast(regexp_extract(chunk_id, ':([0-9]+)$', 1) AS BIGINT) AS number, version, max({_HASH}) AS hash FROM pc GROUP BY 1, 2, 3, 4),
+{sql_steps('document_key', 'version', "list_transform(regexp_extract_all(version, '[0-9]+'), lambda x: x::BIGINT), version")},
+df AS (SELECT coalesce(o.document_key, n.document_key) AS document_key, coalesce(o.f, n.f) AS "from", coalesce(o.t, n.t) AS "to", coalesce(o.lang, n.lang) AS lang, coalesce(o.number, n.number) AS number, {_KIND} AS change_type
+  FROM o FULL JOIN n ON o.document_key = n.document_key AND o.f = n.f AND o.t = n.t AND o.lang = n.lang AND o.number = n.number)"""
+ITEM_ROWS = f"""r AS (SELECT project_id, snapshot_no, lower(trim(external_identifier)) AS identifier, title, {_HASH} AS hash FROM engineering_snapshots WHERE external_identifier IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY project_id, snapshot_no, lower(trim(external_identifier)) ORDER BY delivered_at DESC, {_HASH} DESC NULLS LAST, item_id DESC) = 1),
+{sql_steps('project_id', 'snapshot_no', 'snapshot_no')}"""
+ITEM_DIFF = f"""{ITEM_ROWS}, df AS (SELECT coalesce(o.project_id, n.project_id) AS project_id, coalesce(o.f, n.f) AS "from", coalesce(o.t, n.t) AS "to", coalesce(o.identifier, n.identifier) AS identifier, {_KIND} AS change_type
+  FROM o FULL JOIN n ON o.project_id = n.project_id AND o.f = n.f AND o.t = n.t AND o.identifier = n.identifier)"""
 _NAMED = "list_distinct(regexp_extract_all({}, '[a-z]+\\.[a-z]+(?:_[a-z]+)+'))"
 
 SQL = {
     "section_diff": _SECTION_DIFF + " SELECT * FROM df",
-    "diff_summary": _SECTION_DIFF + " SELECT document_key, " + ", ".join(f"count(*) FILTER (change_type = '{k}') AS {k.lower()}" for k in ("ADDED", "REMOVED", "MODIFIED", "UNCHANGED")) + ", count(*) AS total FROM df GROUP BY 1",
-    "item_diff": f"""WITH r AS (SELECT project_id, snapshot_no, lower(trim(external_identifier)) AS identifier, {_HASH} AS hash FROM engineering_snapshots WHERE snapshot_no IN (1, 2) AND external_identifier IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY project_id, snapshot_no, lower(trim(external_identifier)) ORDER BY delivered_at DESC, {_HASH} DESC NULLS LAST, item_id DESC) = 1)
-SELECT coalesce(o.project_id, n.project_id) AS project_id, coalesce(o.identifier, n.identifier) AS identifier,
-  CASE WHEN o.identifier IS NULL THEN 'ADDED' WHEN n.identifier IS NULL THEN 'REMOVED' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'UNCHANGED' ELSE 'MODIFIED' END AS change_type
-FROM (SELECT * FROM r WHERE snapshot_no = 1) o FULL JOIN (SELECT * FROM r WHERE snapshot_no = 2) n ON o.project_id = n.project_id AND o.identifier = n.identifier""",
+    "diff_summary": _SECTION_DIFF + " SELECT document_key, \"from\", \"to\", " + ", ".join(f"count(*) FILTER (change_type = '{k}') AS {k.lower()}" for k in ("ADDED", "REMOVED", "MODIFIED", "UNCHANGED")) + ", count(*) AS total FROM df GROUP BY 1, 2, 3",
+    "item_diff": f"WITH {ITEM_DIFF} SELECT * FROM df",
     "recorded_change_summary": "SELECT project_id, change_type, count(*) AS n, count(DISTINCT lower(trim(external_identifier))) AS identifiers, max(recorded_at) AS last_recorded FROM item_changes GROUP BY 1, 2",
     "chunk_enrichment": f"WITH {_SRC} SELECT pos, source_id, coalesce(license_status, 'unknown') AS license_status, coalesce(publisher, 'unknown') AS publisher FROM chunks LEFT JOIN sr USING (version, language, document_key)".replace("SELECT pos, source_id, coalesce(license_status", "SELECT pos, source_id, coalesce(sr.license_status"),
     "chunks_without_source": "SELECT pos FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.version = c.version AND s.language = c.language AND s.document_key = c.document_key)",
@@ -348,7 +332,8 @@ t AS (SELECT h.*, newest FROM h JOIN n USING (document_key)), o AS (SELECT DISTI
 SELECT document_key, count(known) AS reused, count(*) - count(known) AS missing FROM (SELECT DISTINCT document_key, hash FROM t WHERE version = newest) LEFT JOIN o USING (document_key, hash) GROUP BY 1""",
     "union_of_rows": "SELECT language, held_out, count(*) AS rows, sum(chars)::BIGINT AS chars FROM (SELECT language, false AS held_out, length(content) AS chars FROM chunks UNION ALL SELECT language, suite IS NOT NULL, length(passage) FROM eval_passages) GROUP BY 1, 2",
     "required_sources_found": "WITH n AS (SELECT DISTINCT case_id, unnest(required_sources) AS source FROM cases), h AS (SELECT DISTINCT document_id FROM chunks) SELECT case_id, count(document_id) AS found, count(*) - count(document_id) AS absent FROM n LEFT JOIN h ON h.document_id = n.source GROUP BY 1",
-    "append_only_extension": "SELECT project_id, count(*) AS lost_rows FROM (SELECT project_id, external_identifier, content FROM engineering_snapshots WHERE snapshot_no = 1 EXCEPT ALL SELECT project_id, external_identifier, content FROM engineering_snapshots WHERE snapshot_no = 2) GROUP BY 1",
+    "append_only_extension": f"""WITH r AS (SELECT snapshot_no, project_id, item_type, organization_id, document_id, section_id, external_identifier, title, content, content_hash, list_sort(map_entries(metadata)) AS metadata FROM engineering_snapshots), {sql_steps('project_id', 'snapshot_no', 'snapshot_no')}
+SELECT project_id, f AS "from", t AS "to", count(*) AS lost_rows FROM (SELECT * EXCLUDE (snapshot_no) FROM o EXCEPT ALL SELECT * EXCLUDE (snapshot_no) FROM n) GROUP BY 1, 2, 3""",
     "evidence_dedup": f"SELECT min(pos) AS pos, document_key FROM chunks GROUP BY document_key, {_HASH}",
     "family_components": f"""WITH RECURSIVE e AS (SELECT 'case ' || case_id AS a, 'family ' || {_FAMILY} AS b FROM cases WHERE family_id IS NOT NULL UNION SELECT 'case ' || case_id, 'case ' || derived_from FROM cases WHERE derived_from IS NOT NULL),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import table
 from . import metrics as M
 from . import retrieval as R
+from .queries_lifecycle import ITEM_DIFF, item_diff
 from .queries_retrieval import _FIELDS_SQL, _bm25_sql, _chunks, _queries
 
 
@@ -89,24 +90,8 @@ def marker_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recorded_change_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded changes against those the snapshots give, by recorded and actual class (a three-way join on project, step and identifier)."""
-    from ..functions.text import content_hash
-    from .lifecycle import keyed_diff, latest
-
-    rows = table(spark, d, "engineering_snapshots").select("project_id", "snapshot_no", F.lower(F.trim("external_identifier")).alias("identifier"), content_hash(F.col("content")).alias("hash"), "delivered_at", "item_id")
-    rows = latest(rows.where("identifier is not null"), ["project_id", "snapshot_no", "identifier"], [F.desc("delivered_at"), F.desc("hash"), F.desc("item_id")])
-    old = rows.withColumn("to_no", F.col("snapshot_no") + 1)
-    actual = keyed_diff(old.where("to_no >= 2"), rows.withColumn("to_no", F.col("snapshot_no")), ["project_id", "to_no", "identifier"], "hash")
-    said = table(spark, d, "item_changes").select("project_id", F.expr("try_cast(regexp_extract(new_version_id, 's([0-9]+)$', 1) as int)").alias("to_no"), F.lower(F.trim("external_identifier")).alias("identifier"), F.col("change_type").alias("recorded")).distinct()
-    both = said.where("to_no is not null").join(actual.withColumnRenamed("change_type", "actual"), ["project_id", "to_no", "identifier"], "left")
-    return both.groupBy("recorded", F.coalesce("actual", F.lit("NONE")).alias("actual")).agg(F.count("*").alias("n"))
-
-
-def recorded_change_accuracy_steps(spark: SparkSession, d: str) -> DataFrame:
-    """recorded_change_accuracy, where the step to a snapshot is from the one before it that exists."""
-    from .queries_lifecycle import item_diff_steps
-
-    actual = item_diff_steps(spark, d).select("project_id", F.col("to").alias("to_no"), "identifier", F.col("change_type").alias("actual"))
+    """Recorded changes against those the snapshots give, by recorded and actual class; the step to a snapshot is from the one before it that exists."""
+    actual = item_diff(spark, d).select("project_id", F.col("to").alias("to_no"), "identifier", F.col("change_type").alias("actual"))
     said = table(spark, d, "item_changes").select("project_id", F.expr("try_cast(regexp_extract(new_version_id, 's([0-9]+)$', 1) as int)").alias("to_no"), F.lower(F.trim("external_identifier")).alias("identifier"), F.col("change_type").alias("recorded")).distinct()
     both = said.where("to_no is not null").join(actual, ["project_id", "to_no", "identifier"], "left")
     return both.groupBy("recorded", F.coalesce("actual", F.lit("NONE")).alias("actual")).agg(F.count("*").alias("n"))
@@ -136,7 +121,7 @@ def percent_reduction(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        eval_summary, eval_by_category, eval_conventions, eval_at_ks, policy_comparison, no_answer_scores, failure_grouping, marker_recall, recorded_change_accuracy, recorded_change_accuracy_steps, family_precision, latency_stats, percent_reduction,
+        eval_summary, eval_by_category, eval_conventions, eval_at_ks, policy_comparison, no_answer_scores, failure_grouping, marker_recall, recorded_change_accuracy, family_precision, latency_stats, percent_reduction,
     )
 }
 
@@ -185,13 +170,9 @@ SELECT dimension, value, count(*) AS cases, sum(wanted - found)::BIGINT AS missi
     "marker_recall": f"""WITH {_TRUTH}, k AS (SELECT pos AS query_id, unnest({_MARK.format('query')}) AS marker FROM cases WHERE pos % 100 = 0 AND query IS NOT NULL),
 x AS (SELECT DISTINCT document_id AS source, unnest({_MARK.format('content')}) AS marker FROM chunks WHERE content IS NOT NULL), t AS (SELECT DISTINCT query_id, marker, 1 AS there FROM tr JOIN x USING (source))
 SELECT query_id, count(*) AS markers, count(there) AS found, round(count(there) / count(*), 6) AS recall FROM k LEFT JOIN t USING (query_id, marker) GROUP BY 1""",
-    "recorded_change_accuracy": f"""WITH r AS (SELECT project_id, snapshot_no, lower(trim(external_identifier)) AS identifier, {_S} AS hash FROM engineering_snapshots WHERE external_identifier IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY project_id, snapshot_no, lower(trim(external_identifier)) ORDER BY delivered_at DESC, {_S} DESC NULLS LAST, item_id DESC) = 1),
-o AS (SELECT project_id, snapshot_no + 1 AS to_no, identifier, hash FROM r), n AS (SELECT project_id, snapshot_no AS to_no, identifier, hash FROM r),
-d AS (SELECT coalesce(o.project_id, n.project_id) AS project_id, coalesce(o.to_no, n.to_no) AS to_no, coalesce(o.identifier, n.identifier) AS identifier, CASE WHEN o.identifier IS NULL THEN 'ADDED' WHEN n.identifier IS NULL THEN 'REMOVED' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'UNCHANGED' ELSE 'MODIFIED' END AS actual
-  FROM (SELECT * FROM o WHERE to_no >= 2) o FULL JOIN n ON o.project_id = n.project_id AND o.to_no = n.to_no AND o.identifier = n.identifier),
-s AS (SELECT DISTINCT project_id, try_cast(regexp_extract(new_version_id, 's([0-9]+)$', 1) AS INT) AS to_no, lower(trim(external_identifier)) AS identifier, change_type AS recorded FROM item_changes)
-SELECT recorded, coalesce(actual, 'NONE') AS actual, count(*) AS n FROM s LEFT JOIN d USING (project_id, to_no, identifier) WHERE to_no IS NOT NULL GROUP BY 1, 2""",
+    "recorded_change_accuracy": f"""WITH {ITEM_DIFF},
+c AS (SELECT DISTINCT project_id, try_cast(regexp_extract(new_version_id, 's([0-9]+)$', 1) AS INT) AS to_no, lower(trim(external_identifier)) AS identifier, change_type AS recorded FROM item_changes)
+SELECT recorded, coalesce(df.change_type, 'NONE') AS actual, count(*) AS n FROM c LEFT JOIN df ON c.project_id = df.project_id AND c.to_no = df."to" AND c.identifier = df.identifier WHERE to_no IS NOT NULL GROUP BY 1, 2""",
     "family_precision": """WITH o AS (SELECT case_id, max(derived_from) AS parent, max(translate(lower(trim(family_id)), '- ', '__')) AS family FROM cases GROUP BY 1)
 SELECT count(*) AS links, count(*) FILTER (a.family = b.family) AS same_family, round(CASE WHEN count(*) = 0 THEN 1.0 ELSE count(*) FILTER (a.family = b.family) / count(*) END, 6) AS precision FROM o a JOIN o b ON a.parent = b.case_id""",
     "latency_stats": "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.95), 4) AS p95, quantile_disc(value, 0.95) AS p95_nearest, min(value) AS least, max(value) AS greatest, round(stddev_pop(value), 4) AS deviation FROM events GROUP BY 1",

@@ -64,7 +64,8 @@ def exact_token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eval_passages").select("item_id", rules.hashed_vector("passage").alias("vector"))
+    """The hashed vector of every chunk's content."""
+    return table(spark, d, "chunks").where("content is not null").select("pos", rules.hashed_vectors("content").alias("vector"))
 
 
 def document_sections(spark: SparkSession, d: str) -> DataFrame:

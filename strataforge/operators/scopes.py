@@ -69,8 +69,8 @@ def in_versions(df: DataFrame, members: set[str] | None, version: str = "version
 
 
 def catalog_scope(chunks: DataFrame, catalog: DataFrame, scope: Scope, document: str = "document_id") -> DataFrame:
-    """Chunks whose version (catalog: document, version_id, project_id, document_type, status) is in the scope; chunks the catalog does not know are out."""
-    allowed = scope.allows(project_ids=F.col("project_id"), document_types=F.col("document_type"), version_ids=F.col("version_id"), document_ids=F.col(document))
+    """Chunks whose version (catalog: document_id, version_id, project_id, document_type, status) is in the scope, joined on `document`; chunks the catalog does not know are out."""
+    allowed = scope.allows(project_ids=F.col("project_id"), document_types=F.col("document_type"), version_ids=F.col("version_id"), document_ids=F.col("document_id"))
     rows = catalog.where(allowed & ((F.col("status") == "ACTIVE") if scope.active_only else F.lit(True)))
     return chunks.join(rows.select(document).distinct(), document, "left_semi")
 

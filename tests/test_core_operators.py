@@ -239,13 +239,13 @@ def test_diffs_cover_all_existing_steps(spark, tmp_path):
     def rows_of(f):
         return {tuple(r) for r in f(spark, str(tmp_path)).collect()}
 
-    assert rows_of(queries_lifecycle.item_diff_steps) == {
+    assert rows_of(queries_lifecycle.item_diff) == {
         ("p", 1, 3, "a", "UNCHANGED"), ("p", 1, 3, "b", "MODIFIED"), ("p", 1, 3, "c", "ADDED"), ("p", 3, 8, "a", "UNCHANGED"), ("p", 3, 8, "b", "REMOVED"), ("p", 3, 8, "c", "REMOVED"),
     }
-    assert rows_of(queries_lifecycle.append_only_steps) == {("p", 1, 3, 2), ("p", 3, 8, 3)}
-    assert rows_of(queries_evidence.carried_title_steps) == {("p", 1, 3, "a", "title a", True), ("p", 1, 3, "b", None, False), ("p", 1, 3, "c", None, False), ("p", 3, 8, "a", "title a", False)}
-    assert rows_of(queries_metrics.recorded_change_accuracy_steps) == {("MODIFIED", "MODIFIED", 1), ("REMOVED", "REMOVED", 1), ("ADDED", "NONE", 1)}
-    assert rows_of(queries_lifecycle.section_diff_steps) == {
+    assert rows_of(queries_lifecycle.append_only_extension) == {("p", 1, 3, 2), ("p", 3, 8, 3)}
+    assert rows_of(queries_evidence.carried_titles) == {("p", 1, 3, "a", "title a", True), ("p", 1, 3, "b", None, False), ("p", 1, 3, "c", None, False), ("p", 3, 8, "a", "title a", False)}
+    assert rows_of(queries_metrics.recorded_change_accuracy) == {("MODIFIED", "MODIFIED", 1), ("REMOVED", "REMOVED", 1), ("ADDED", "NONE", 1)}
+    assert rows_of(queries_lifecycle.section_diff) == {
         ("d", "v1.9.0", "v1.10.0", "en", 1, "UNCHANGED"), ("d", "v1.9.0", "v1.10.0", "en", 2, "MODIFIED"), ("d", "v1.10.0", "v3.0.0", "en", 1, "MODIFIED"), ("d", "v1.10.0", "v3.0.0", "en", 2, "REMOVED"),
     }
-    assert rows_of(queries_lifecycle.diff_summary_steps) == {("d", "v1.9.0", "v1.10.0", 0, 0, 1, 1, 2), ("d", "v1.10.0", "v3.0.0", 0, 1, 1, 0, 2)}
+    assert rows_of(queries_lifecycle.diff_summary) == {("d", "v1.9.0", "v1.10.0", 0, 0, 1, 1, 2), ("d", "v1.10.0", "v3.0.0", 0, 1, 1, 0, 2)}
