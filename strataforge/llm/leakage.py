@@ -34,7 +34,7 @@ from .canonical import canonical
 _WORD = re.compile(r"[^\W_]+")
 WORDS, WORD_SHINGLE, CHARS, CHAR_SHINGLE = 15, 5, 32, 16
 ROWS, BLOCK = 4, 200
-PER_KEY, PROBES, LEAST_BITS, MOST_BITS, PAGE = 32, 4, 1 << 16, 1 << 28, 1 << 15
+PER_KEY, PROBES, MOST_BITS, PAGE = 12, 6, 1 << 28, 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,9 +147,9 @@ def _item_pass(unspaced: tuple[str, ...]):
 
 
 def _place(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
-    """Where each key is marked at one of the PROBES; bits is a power of two."""
+    """Where each key is marked at one of the PROBES; bits is at most 2 ** 32."""
     with np.errstate(over="ignore"):
-        return (keys * np.uint64(0xD1B54A32D192ED03 * (2 * probe + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(65 - bits.bit_length())
+        return (keys * np.uint64(0xD1B54A32D192ED03 * (2 * probe + 1) & 0xFFFFFFFFFFFFFFFF) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
 
 
 def _mark_pass(bits: int):
@@ -172,7 +172,7 @@ def _mark_pass(bits: int):
 def key_filter(keys: DataFrame) -> bytes:
     """A bitmap with all values of `key` marked; its size follows their number, up to MOST_BITS."""
     count = keys.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (PER_KEY * count - 1).bit_length())) if count else LEAST_BITS
+    bits = min(MOST_BITS, PAGE * (PER_KEY * count // PAGE + 1))  # whole pages
     bitmap = np.zeros(bits // 8, np.uint8)
     # Rows are pages of 4 kB: together a bitmap for each of the few partitions.
     for page, marks in keys.coalesce(4).mapInArrow(_mark_pass(bits), "page bigint, bits binary").toLocalIterator():
