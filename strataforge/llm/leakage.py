@@ -34,7 +34,7 @@ from .canonical import canonical
 _WORD = re.compile(r"[^\W_]+")
 WORDS, WORD_SHINGLE, CHARS, CHAR_SHINGLE = 15, 5, 32, 16
 ROWS, BLOCK = 4, 200
-PER_KEY, PROBES, MOST_BITS, PAGE = 12, 6, 1 << 28, 1 << 15
+PER_KEY, PROBES, MOST_BITS, PAGE = 16, 8, 1 << 28, 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,9 +147,11 @@ def _item_pass(unspaced: tuple[str, ...]):
 
 
 def _place(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
-    """Where each key is marked at one of the PROBES; bits is at most 2 ** 32."""
+    """Where each key is marked at one of the PROBES, which are mixed apart; bits is at most 2 ** 32."""
     with np.errstate(over="ignore"):
-        return (keys * np.uint64(0xD1B54A32D192ED03 * (2 * probe + 1) & 0xFFFFFFFFFFFFFFFF) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+        h = (keys ^ np.uint64((probe + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) * _MIX
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD1B54A32D192ED03)
+        return (h >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
 
 
 def _mark_pass(bits: int):
