@@ -110,6 +110,18 @@ def by_request(df: DataFrame, request: str, order: list[str], choose: Callable[[
     return df.repartition(request).sortWithinPartitions(request, *order).mapInPandas(run, schema)
 
 
+def profile_matches(df: DataFrame, text: str, patterns: list[tuple[str, str]]) -> DataFrame:
+    """`df` with a row for each named pattern (Java regular expressions of a user's profile, checked here) that its text holds, in column `pattern`."""
+    import re
+
+    if len({name for name, _ in patterns}) < len(patterns) or any(not name.strip() for name, _ in patterns):
+        raise ValueError("patterns need different names")
+    for _, pattern in patterns:
+        re.compile(pattern)
+    found = F.array(*(F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in patterns))
+    return df.withColumn("pattern", F.explode(F.array_compact(found)))
+
+
 def embedder(encode: Callable[[list[str]], list], dimension: int):
     """A column function from a Python callable on lists of texts; a null text gives null, a wrong dimension fails."""
 

@@ -15,7 +15,7 @@ from . import metrics as M
 from . import retrieval as R
 from . import scopes as S
 from .queries_metrics import _hits, _hits_sql, _truth
-from .queries_retrieval import _bm25_sql, _chunks, _queries
+from .queries_retrieval import _FACETS, _bm25_sql, _chunks, _queries
 from .queries_text import CLASSES
 
 _COMPOSITES = {"first_series": ["v1.4.0", "v1.5.0", "v1.6.2"]}
@@ -295,12 +295,52 @@ def refresh_summary(spark: SparkSession, d: str) -> DataFrame:
     return stale.select("case_id", "sources", F.size("stale").alias("stale_sources"), F.array_join("stale", ",").alias("stale_documents"))
 
 
+def marker_containment(spark: SparkSession, d: str) -> DataFrame:
+    """For each query and required source: how many identifiers of the query a chunk of that source holds, as a part of its text and whatever the case."""
+    markers = table(spark, d, "cases").where("pos % 100 = 0 and query is not null").select(F.col("pos").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all("query", F.lit("[a-z]+\\.[a-z_]+"), F.lit(0)))).alias("marker"))
+    wanted = _truth(spark, d).distinct().join(markers, "query_id")
+    texts = table(spark, d, "chunks").where("content is not null").select(F.col("document_id").alias("source"), F.lower("content").alias("text"))
+    held = wanted.join(texts, "source").where(F.col("text").contains(F.lower("marker"))).select("query_id", "source", "marker").distinct().withColumn("held", F.lit(1))
+    return wanted.join(held, ["query_id", "source", "marker"], "left").groupBy("query_id", "source").agg(F.count("*").alias("markers"), F.count("held").alias("held"))
+
+
+def request_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Every case summary as a plan of at most four searches: each facet with its kind, the whole text's where the facet says nothing."""
+    rows = table(spark, d, "cases").where("summary is not null").select("pos", keyword_class(F.col("summary"), CLASSES).alias("whole"), F.posexplode(R.facets(F.col("summary"))).alias("step", "search_query"))
+    own = keyword_class(F.col("search_query"), CLASSES, "")
+    return rows.select("pos", "step", F.when(own != "", own).otherwise(F.col("whole")).alias("kind"), "search_query")
+
+
+def planned_queries(spark: SparkSession, d: str) -> DataFrame:
+    """For each suite and category at most three different searches, a primary one and two to fall back on, without those asked already (the queries of the suite's cases)."""
+    rows = table(spark, d, "cases").where("suite is not null and category is not null")
+    asked = rows.groupBy("suite").agg(F.collect_set("query").alias("asked"))
+    texts = [F.concat_ws(" ", *parts) for parts in (("suite", "category"), ("language", "category", F.lit("要求")), ("suite", "category", F.lit("相关说明")))]
+    plan = rows.select("suite", "category", "language", F.array_distinct(F.array(*(F.trim(F.regexp_replace(t, "\\s+", " ")) for t in texts))).alias("texts")).distinct()
+    left = plan.join(asked, "suite").select("suite", "category", "language", F.posexplode(F.slice(F.filter("texts", lambda t: (t != "") & ~F.array_contains("asked", t)), 1, 3)).alias("step", "search_query"))
+    return left.select("suite", "category", "language", "step", "search_query")
+
+
+_PATTERNS = [("parameter", "[a-z]+\\.[a-z_]+"), ("release", "v[0-9]+\\.[0-9]+"), ("requirement", "REQ-[0-9]+")]
+
+
+def profile_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by the named patterns of a user's profile."""
+    return E.profile_matches(table(spark, d, "chunks"), "content", _PATTERNS).groupBy("pattern").agg(F.count("*").alias("chunks"), F.min("pos").alias("first_pos"))
+
+
+def compound_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """The queries with compounds written as the corpus writes them."""
+    return R.compound_aliases(_queries(spark, d), I.postings(R.corpus_index(_chunks(spark, d)), "body"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         version_scopes, catalog_scope, catalog_history_scope, item_scope, evidence_scope, figure_scope, safe_trace, source_names, document_chunks, figure_topk, merged_figures, path_overlaps, canonical_hashes,
         evidence_ids, evidence_kept, change_keys, decoded_answers, decoded_reviews, aliased_claims, review_candidates_outside, url_summaries, failure_classes, delivery_times, safe_contents, safe_metadata,
         figure_notices, first_families, clause_first_classes, eval_v4, abstention, scope_errors, diversity_gain, saved_answers, refresh_summary,
+        marker_containment, request_plans, planned_queries, profile_matches, compound_aliases,
     )
 }
 
@@ -390,4 +430,15 @@ SELECT project_id, count(*) AS answers, count(*) FILTER (o.identifier IS NULL) A
 count(*) FILTER (o.identifier IS NOT NULL AND said IS NOT NULL AND NOT coalesce(list_contains(hashes, said), false)) AS mismatched FROM s LEFT JOIN o USING (project_id, identifier) GROUP BY 1""",
     "refresh_summary": f"""WITH {_CAT}, c AS (SELECT DISTINCT case_id, unnest(required_sources) AS document_id FROM cases WHERE case_id IS NOT NULL), r AS (SELECT case_id, document_id, status FROM c JOIN cat USING (document_id))
 SELECT case_id, count(*) AS sources, count(DISTINCT document_id) FILTER (status = 'SUPERSEDED') AS stale_sources, coalesce(array_to_string(list_sort(list(DISTINCT document_id) FILTER (status = 'SUPERSEDED')), ','), '') AS stale_documents FROM r GROUP BY 1""",
+    "marker_containment": """WITH m AS (SELECT pos AS query_id, unnest(list_distinct(regexp_extract_all(query, '[a-z]+\\.[a-z_]+'))) AS marker FROM cases WHERE pos % 100 = 0 AND query IS NOT NULL),
+t AS (SELECT DISTINCT pos AS query_id, unnest(required_sources) AS source FROM cases WHERE pos % 100 = 0 AND query IS NOT NULL), w AS (SELECT query_id, source, marker FROM t JOIN m USING (query_id)),
+c AS (SELECT document_id AS source, lower(content) AS text FROM chunks WHERE content IS NOT NULL), h AS (SELECT DISTINCT query_id, source, marker, 1 AS held FROM w JOIN c USING (source) WHERE contains(text, lower(marker)))
+SELECT query_id, source, count(*) AS markers, count(held) AS held FROM w LEFT JOIN h USING (query_id, source, marker) GROUP BY 1, 2""",
+    "request_plans": f"""WITH {_FACETS}, p AS (SELECT pos, facet_id AS step, facet AS search_query, summary FROM fs JOIN cases USING (pos)),
+k AS (SELECT pos, step, search_query, {_class_sql('search_query', '')} AS own, {_class_sql('summary', 'general')} AS whole FROM p) SELECT pos, step::INT AS step, CASE WHEN own <> '' THEN own ELSE whole END AS kind, search_query FROM k""",
+    "planned_queries": """WITH r AS (SELECT DISTINCT suite, category, language FROM cases WHERE suite IS NOT NULL AND category IS NOT NULL),
+x AS (SELECT *, unnest([0, 1, 2]) AS n, unnest([concat_ws(' ', suite, category), concat_ws(' ', language, category, '要求'), concat_ws(' ', suite, category, '相关说明')]) AS q FROM r),
+y AS (SELECT suite, category, language, q, min(n) AS n FROM x WHERE q <> '' AND (suite, q) NOT IN (SELECT suite, query FROM cases WHERE suite IS NOT NULL AND query IS NOT NULL) GROUP BY 1, 2, 3, 4)
+SELECT suite, category, language, (row_number() OVER (PARTITION BY suite, category, language ORDER BY n) - 1)::INT AS step, q AS search_query FROM y""",
+    "profile_matches": " UNION ALL ".join(f"SELECT '{n}' AS pattern, count(*) AS chunks, min(pos) AS first_pos FROM chunks WHERE regexp_matches(content, '{p}') HAVING count(*) > 0" for n, p in _PATTERNS),
 }

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.rules import hashed_matrix
 from ..functions.text import tokens
@@ -215,3 +217,56 @@ def facets(query: Column, most: int = 4) -> Column:
     parts = F.filter(F.transform(F.split(query, "[;；\\n]+"), lambda p: F.trim(F.regexp_replace(p, "^\\s*(?:[-*•]|\\d+[.)、])\\s*", ""))), lambda p: p != "")
     joined = F.concat(F.slice(parts, 1, most - 1), F.array(F.array_join(F.slice(parts, most, 1 << 20), "；")))
     return F.when(F.size(parts) <= 1, F.array(query)).when(F.size(parts) > most, joined).otherwise(parts)
+
+
+# Fixed value: words that make no compound with their neighbour.
+LOOSE = frozenset(
+    "what is the a an of for to does do how which in on from and or can could would with 如何 怎么 什么 哪些 是否 可以 通过 并通 过命 令行 行参 数启 用或 或禁 用模 请问 请 吗 的 与 和 从 到 中 里 了 吗？ 呢".split()
+)
+
+
+def aliased(terms: list[str], known: set[str]) -> list[str]:
+    """Terms as the corpus writes them: an unknown hyphenated one as its parts if all of them are known, then neighbours as the compound that is known."""
+    apart: list[str] = []
+    for term in terms:
+        parts = [p for p in term.split("-") if p]
+        apart += parts if term not in known and len(parts) > 1 and known.issuperset(parts) else [term]
+    out: list[str] = []
+    joined = False
+    for left, right in zip(apart, [*apart[1:], None]):
+        if joined:
+            joined = False
+            continue
+        joined = right is not None and not LOOSE & {left, right} and f"{left}-{right}" in known
+        out.append(f"{left}-{right}" if joined else left)
+    return out
+
+
+def _possible(terms: list[str]) -> set[str]:
+    """All that terms could turn into: themselves, their parts, and compounds of neighbours, either one whole or its nearest part."""
+    parts = [[p for p in t.split("-") if p] or [t] for t in terms]
+    found = {*terms, *(p for own in parts for p in own), *(f"{x}-{y}" for own in parts for x, y in zip(own, own[1:]))}
+    for (a, b), (own, other) in zip(zip(terms, terms[1:]), zip(parts, parts[1:])):
+        found |= {f"{x}-{y}" for x in (a, own[-1]) for y in (b, other[0])}
+    return found
+
+
+def compound_aliases(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, aliased): the terms of each query (query_id, query) with compounds as in the corpus.
+
+    Only terms a query could turn into are looked up in the postings, by one join; what comes back for a query is bounded by its own length.
+    """
+    rows = queries.select("query_id", tokens(F.col("query")).alias("terms"))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def possible(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda t: sorted(_possible(list(t))))
+
+    asked = rows.select("query_id", F.explode(possible("terms")).alias("term"))
+    known = asked.join(postings.select("term").distinct(), "term", "left_semi").groupBy("query_id").agg(F.collect_set("term").alias("known"))
+
+    @F.pandas_udf(StringType())
+    def join(terms: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([" ".join(aliased(list(t), set(k) if k is not None else set())) for t, k in zip(terms, known)])
+
+    return rows.join(known, "query_id", "left").select("query_id", join("terms", "known").alias("aliased"))

@@ -177,3 +177,14 @@ def test_release_removes_intermediate_tables(spark):
 
     df = tables.written(spark.range(3).toDF("x"))
     assert df.count() == 3 and tables.release(spark) >= 1 and tables.release(spark) == 0
+
+
+def test_compound_aliases(spark):
+    known = {"zone", "blend", "zone-blend", "re", "try", "a-b"}
+    assert R.aliased(["zone", "blend", "the", "re-try", "x-y", "zone-blend"], known) == ["zone-blend", "the", "re", "try", "x-y", "zone-blend"]
+    assert R.aliased([], known) == [] and R.aliased(["zone", "the"], known) == ["zone", "the"]
+    queries = spark.createDataFrame([(1, "Zone blend re-try x-y"), (2, ""), (3, None)], "query_id int, query string")
+    postings = spark.createDataFrame([(t,) for t in sorted(known)], "term string")
+    assert {r["query_id"]: r["aliased"] for r in R.compound_aliases(queries, postings).collect()} == {1: "zone-blend re try x-y", 2: "", 3: ""}
+    with pytest.raises(ValueError):
+        E.profile_matches(queries, "query", [("a", "x"), ("a", "y")])
