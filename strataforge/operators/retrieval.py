@@ -34,9 +34,16 @@ def corpus_index(chunks: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    """(query_id, term, qtf): the distinct terms of each query."""
+    """(query_id, term, qtf): the distinct terms of each query, written, so that the engine knows the size of this side and carries it to the postings if it is small."""
     rows = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokens(F.col(text))).alias("term"))
-    return rows.where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return written(rows.where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+
+
+def weighted(terms: DataFrame, found: DataFrame, stats: DataFrame) -> DataFrame:
+    """The terms with their idf and the one row of statistics, written for the same reason; `df` counts each corpus row once."""
+    df = found.groupBy("term").agg(F.countDistinct("pos").alias("df")) if "field" in found.columns else found.groupBy("term").agg(F.count("*").alias("df"))
+    rows = terms.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    return written(rows.withColumn("idf", idf(F.col("n"), F.col("df"))).drop("df", "n"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -50,11 +57,10 @@ def saturation(tf: Column, length: Column, average: Column) -> Column:
 def bm25(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "query", weighted_terms: bool = False, least_terms: int = 1) -> DataFrame:
     """(query_id, pos, score) of all chunks (pos, content) with a term of the query."""
     terms, own = query_terms(queries, query_id, text), corpus_index(chunks)
-    found = index.postings(own, "body", terms)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(index.averages(own, ["body"])))  # one row
+    weights = weighted(terms, index.postings(own, "body", terms).drop("field"), index.averages(own, ["body"]))
+    scored = index.postings(own, "body").join(weights, "term")
     weight = F.col("qtf") if weighted_terms else F.lit(1)
-    part = weight * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("avg_body"))
+    part = weight * F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_body"))
     out = scored.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
     return out.where(F.col("matched") >= least_terms).select("query_id", "pos", "score")
 
@@ -62,22 +68,20 @@ def bm25(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id", text
 def bm25_fields(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, pos, score) over title, heading path and body with shared document frequencies."""
     terms, own = query_terms(queries, query_id, text), corpus_index(chunks)
-    found = index.postings(own, None, terms)
-    df = found.groupBy("term").agg(F.countDistinct("pos").alias("df"))
-    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(index.averages(own, list(FIELD_WEIGHTS))))  # one row
+    weights = weighted(terms, index.postings(own, None, terms), index.averages(own, list(FIELD_WEIGHTS)))
+    scored = index.postings(own).join(weights, "term")
     weight, average = F.lit(None), F.lit(None)
     for name, w in FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == name, F.lit(w)).otherwise(weight)
         average = F.when(F.col("field") == name, F.col(f"avg_{name}")).otherwise(average)
-    part = weight * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), average)
+    part = weight * F.col("idf") * saturation(F.col("tf"), F.col("length"), average)
     return scored.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def token_overlap(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, pos, score): how many distinct query terms a chunk has."""
     terms = query_terms(queries, query_id, text)
-    found = index.postings(corpus_index(chunks), "body", terms)
-    return terms.join(found, "term").groupBy("query_id", "pos").agg(F.count("*").cast("double").alias("score"))
+    return index.postings(corpus_index(chunks), "body").join(terms, "term").groupBy("query_id", "pos").agg(F.count("*").cast("double").alias("score"))
 
 
 def figure_hits(rows: DataFrame, queries: DataFrame, k: int, most: int, query_id: str = "query_id", text: str = "query") -> DataFrame:
@@ -87,13 +91,11 @@ def figure_hits(rows: DataFrame, queries: DataFrame, k: int, most: int, query_id
     """
     whole = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("heading", "document_key", "content")))
     own, terms = index.built(rows, {"whole": whole, "content": F.col("content")}), query_terms(queries, query_id, text)
-    found = index.postings(own, "whole", terms)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = index.averages(own, ["whole"]).select("n", F.greatest("avg_whole", F.lit(1.0)).alias("average"))
-    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(stats))  # one row
-    part = F.col("qtf") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("average"))
+    scored = index.postings(own, "whole").join(weighted(terms, index.postings(own, "whole", terms).drop("field"), stats), "term")
+    part = F.col("qtf") * F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("average"))
     scores = scored.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
-    two = terms.join(index.postings(own, "content", terms), "term").groupBy("query_id", "pos").agg(F.count("*").alias("own")).where("own >= 2").drop("own")
+    two = index.postings(own, "content").join(terms, "term").groupBy("query_id", "pos").agg(F.count("*").alias("own")).where("own >= 2").drop("own")
     hits = scores.where("score > 0").join(two, ["query_id", "pos"]).join(rows.select("pos", "chunk_id"), "pos")
     return ranked(hits, [F.desc("score"), F.asc("chunk_id"), F.asc("pos")], min(k, most)).select("query_id", "rank", "pos", "score")
 
