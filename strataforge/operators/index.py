@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens_of
 from ..plans.tables import file_stamps, written
+from . import best
 
 _KNOWN: dict[tuple, DataFrame] = {}
 
@@ -56,6 +57,7 @@ def built(corpus: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 def forget() -> None:
     """Drop what is known of built indexes, as when their tables are removed."""
+    best.forget()
     _KNOWN.clear()
 
 
