@@ -7,6 +7,7 @@ import pytest
 
 from strataforge.llm import leakage, mixing, near_duplicates, overlaps, splits
 from strataforge.llm.tokens import similarity, token_set
+from strataforge.plans import tables
 
 WORDS = [f"w{chr(97 + i % 26)}{i}" for i in range(400)]
 
@@ -55,6 +56,58 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.near_duplicate_groups(df.limit(0), "pos", "text").count() == 0
 
 
+def test_texts_near_the_threshold_are_read_without_a_shuffle(spark, monkeypatch):
+    made = []
+
+    own = near_duplicates.written
+
+    def kept(df, **how):
+        made.append((df, own(df, **how)))
+        return made[-1][1]
+
+    monkeypatch.setattr(near_duplicates, "written", kept)
+    texts = [" ".join(WORDS[at : at + 40]) for at in range(0, 360, 90)] + [" ".join(WORDS[at : at + 33] + WORDS[at + 40 : at + 47]) for at in range(0, 360, 90)]  # 33 of 47 are shared: 0.702
+    texts += _texts(4, 20, 2, edits=2)
+    rows = list(enumerate(texts))
+    found = {tuple(r) for r in near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, "pos bigint, text string"), "pos", "text").collect()}
+    assert found == _groups(rows, 0.7, 20)
+    plan, wide = next(x for x in made if x[1].columns == ["id", "tokens"])
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert set(range(8)) <= {r[0] for r in wide.collect()} and wide.count() < len(rows) / 2
+    assert {r[0]: np.frombuffer(r[1], np.uint64).tolist() for r in wide.collect()}[0] == sorted(near_duplicates.xxhash.xxh3_64_intdigest(t) for t in token_set(texts[0]))
+
+
+def test_shuffles_of_a_written_table_are_removed_at_once(spark):
+    import time
+    from pathlib import Path
+
+    def shuffles():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name.split("_")[1] for d in dirs for f in Path(d.getPath()).rglob("shuffle_*")}
+
+    before, key = shuffles(), tables._CLEANUP
+    out = tables.written(spark.range(1000).repartition(3, "id"), drop_shuffles=True)
+    for _ in range(40):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.25)
+    assert not left and out.count() == 1000 and spark.conf.get(key, None) is None
+
+
+def test_bands_of_a_text_depend_on_no_other(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 900, n, dtype=np.uint32)) for n in (20, 1, 400, 20, 77, 1, 90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "tokens"])
+    whole = pa.Table.from_batches(near_duplicates._band_pass(iter([batch]))).combine_chunks()
+    monkeypatch.setattr(near_duplicates, "TOKENS", 120)
+    assert [b.num_rows for b in near_duplicates._sliced(batch)] == [2, 1, 3, 1]
+    assert pa.Table.from_batches(near_duplicates._band_pass(iter([batch]))).combine_chunks() == whole
+    regs = near_duplicates.registers(np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1], 9)
+    assert all((regs[i] == near_duplicates._values(s, 9).max(axis=0)).all() for i, s in enumerate(sets))
+
+
 def test_hot_bucket_blocks_lose_no_link():
     import pyarrow as pa
 
